@@ -15,13 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's shared checkpoint folder.
-
-    Later stages read replicated files instead of recomputing a long lineage,
-    so a lost executor costs only its running tasks.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of its own where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +24,16 @@ def cut(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
             shared = tempfile.mkdtemp(prefix="topicloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's shared checkpoint folder.
+
+    Later stages read those files instead of recomputing a long lineage, so a
+    lost executor costs only its running tasks.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

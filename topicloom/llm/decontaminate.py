@@ -71,43 +71,71 @@ def rarest_shingles(docs: DataFrame, windows: DataFrame, small: bool, single: bo
     return best.where("b.count > 0").select("item_id", "size", "win", "b.key", "b.off")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
+def word_table(docs: DataFrame) -> DataFrame:
+    """``doc_id``, what tells texts of one id apart, and the words ``w``."""
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("len"), words(F.col("text")).alias("w"))
+
+
+KEY = ["doc_id", "h", "len"]
+
+
+def hits(text: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, h, len, n_words, n_hit, ids`` of the texts in which an item window occurs."""
     windows = cut(item_windows(items, window))
     count, shortest = windows.agg(F.count("*"), F.min("size")).first()
     small, single = count <= BROADCAST_ROWS, shortest == 1
-    text = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("len"), words(F.col("text")).alias("w"))
     probes = cut(rarest_shingles(text, windows, small, single))
     start = F.col("pos") - F.col("off")
-    hits = (
+    found = (
         _positions(text, single)
         .join(F.broadcast(probes) if small else probes, "key")
         .where((start >= 0) & (start + F.col("size") <= F.size("w")))
         .where(lower_ascii(F.get("w", F.greatest(start, F.lit(0)))) == F.get("win", F.lit(0)))
         .where(F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")), lower_ascii) == F.col("win"))
-        .select("doc_id", "h", "len", start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
+        .select(*KEY, F.size("w").cast("long").alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
     )
-    hits = cut(hits.distinct())
-    by = ["doc_id", "h", "len"]
-    spans = hits.select(*by, F.struct("start", "end").alias("s")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    found = cut(found.distinct())
+    spans = found.select(*KEY, "n_words", F.struct("start", "end").alias("s")).distinct().groupBy(*KEY, "n_words").agg(F.array_sort(F.collect_list("s")).alias("s"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     step = lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("n"))
-    n_hit = spans.select(*by, F.aggregate("s", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"))
-    ids = hits.where("item_id is not null").select(*by, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("i")).alias("ids"))
-    found = n_hit.join(ids, (n_hit.doc_id.eqNullSafe(ids.doc_id)) & (n_hit.h == ids.h) & (n_hit.len == ids.len), "left").select(*(n_hit[c] for c in by), "n_hit", "ids")
-    rows = text.select(*by, F.size("w").cast("long").alias("n_words"))
+    n_hit = spans.select(*KEY, "n_words", F.aggregate("s", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"))
+    ids = found.where("item_id is not null").select(*KEY, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("i")).alias("ids"))
+    return n_hit.join(ids, (n_hit.doc_id.eqNullSafe(ids.doc_id)) & (n_hit.h == ids.h) & (n_hit.len == ids.len), "left").select(*(n_hit[c] for c in KEY), "n_words", "n_hit", "ids")
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
+    text = word_table(docs)
+    found = hits(text, items, window)
+    rows = text.select(*KEY, F.size("w").cast("long").alias("n_words"))
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id) & (rows.h == found.h) & (rows.len == found.len), "left")
     hit, got = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
         rows.doc_id,
-        "n_words",
+        rows.n_words,
         hit.cast("long").alias("n_hit"),
         F.size(got).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", got), 256).alias("items_sha256"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        is_contaminated(hit, rows.n_words).alias("contaminated"),
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns.
+
+    Only ids and digests of contaminated texts are joined back, so texts move
+    only if those are too many to broadcast.
+    """
+    found = hits(word_table(docs), items, window)
+    bad = cut(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(*KEY)).withColumnsRenamed({"doc_id": "bad_id", "h": "bad_h", "len": "bad_len"})
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_h")) & (F.length("text") == F.col("bad_len")), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -23,7 +23,7 @@ from math import comb, inf
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, table
@@ -244,6 +244,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return marked.join(of.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group, one of each id.
+
+    Texts are joined with the ids of the rows that go, which is what is left
+    out, and among rows of one kept id the first by text and other columns
+    stays.  Rows without an id are kept once for each group without any id.
+    """
+    marked = near_duplicates(docs, radius, width)
+    keep = cut(marked.where("doc_id <=> component_id").select("doc_id").distinct())
+    out = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    twice = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return out
+    again = docs.doc_id.eqNullSafe(twice.doc_id)
+    order = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    first = out.join(twice, again, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return out.join(twice, again, "left_anti").unionByName(first)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
