@@ -51,28 +51,14 @@ def _draw(doc_id: Column, leaf: Leaf) -> Column:
     return -F.log(unit) / F.lit(leaf.weight)
 
 
-def _first(cols: list[Column]) -> Column:
-    """Index of the least column, of equals the first."""
-    return F.array_position(F.array(*cols), F.array_min(F.array(*cols))).cast("int") - 1
-
-
 def descend(draws: dict[int, Column], tree: list[Leaf]) -> Column:
-    """``struct(region, rack, shard)`` of the least draw at each level."""
-    least = lambda leaves: F.array_min(F.array(*(draws[x.shard] for x in leaves)))
-    regions = sorted({x.region for x in tree})
-    of_rack = {r: sorted({x.rack for x in tree if x.region == r}) for r in regions}
-    own = {(r, k): [x for x in tree if x.region == r and x.rack == k] for r in regions for k in of_rack[r]}
-    shard = lambda r, k: F.element_at(F.array(*(F.lit(x.shard) for x in own[r, k])), _first([draws[x.shard] for x in own[r, k]]) + 1)
-    at_rack = lambda r, k: F.struct(F.lit(r).alias("region"), F.lit(k).alias("rack"), shard(r, k).alias("shard"))
-
-    def case(index: Column, cases: list[Column]) -> Column:
-        out = F.when(index == 0, cases[0])
-        for i, c in enumerate(cases[1:], 1):
-            out = out.when(index == i, c)
-        return out
-
-    in_region = [case(_first([least(own[r, k]) for k in of_rack[r]]), [at_rack(r, k) for k in of_rack[r]]) for r in regions]
-    return case(_first([least([x for x in tree if x.region == r]) for r in regions]), in_region)
+    """``struct(draw, region, rack, shard)`` of the least draw: every rack takes the least of its shards, every region of its racks, the root of its regions."""
+    least = lambda nodes: F.array_min(F.array(*nodes))
+    leaf = lambda x: F.struct(draws[x.shard].alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard"))
+    regions: dict[int, dict[int, list[Leaf]]] = {}
+    for x in tree:
+        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
+    return least([least([least([leaf(x) for x in rack]) for rack in racks.values()]) for racks in regions.values()])
 
 
 def place(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None) -> DataFrame:
