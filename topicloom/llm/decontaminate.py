@@ -60,7 +60,7 @@ def _positions(docs: DataFrame, single: bool) -> DataFrame:
 
 
 def rarest_shingles(docs: DataFrame, windows: DataFrame, small: bool, single: bool) -> DataFrame:
-    """Windows with ``key`` and ``off``, their rarest shingle that occurs in the documents; windows with a shingle that never occurs are left out."""
+    """Windows, as ``first`` word and ``whole`` text, with ``key`` and ``off``, their rarest shingle that occurs in the documents; windows with a shingle that never occurs are left out."""
     hint = F.broadcast if small else (lambda x: x)
     at = F.sequence(F.lit(1), F.greatest(F.size("win") - 1, F.lit(1)))
     each = cut(windows.select("*", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.get("win", i - 1), F.get("win", i)))).alias("off", "key")))
@@ -68,7 +68,7 @@ def rarest_shingles(docs: DataFrame, windows: DataFrame, small: bool, single: bo
     seen = _positions(docs.select("w"), single).select("key").join(hint(keys), "key", "left_semi").groupBy("key").count()
     ranked = each.join(seen, "key", "left")
     best = ranked.groupBy("item_id", "size", "win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "off")).alias("b"))
-    return best.where("b.count > 0").select("item_id", "size", "win", "b.key", "b.off")
+    return best.where("b.count > 0").select("item_id", "size", F.get("win", F.lit(0)).alias("first"), F.array_join("win", " ").alias("whole"), "b.key", "b.off")
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -86,12 +86,13 @@ def hits(text: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     small, single = count <= BROADCAST_ROWS, shortest == 1
     probes = cut(rarest_shingles(text, windows, small, single))
     start = F.col("pos") - F.col("off")
+    # No higher-order function here: it would end the generated stage, and every position would carry a copy of the document's words.
     found = (
         _positions(text, single)
         .join(F.broadcast(probes) if small else probes, "key")
         .where((start >= 0) & (start + F.col("size") <= F.size("w")))
-        .where(lower_ascii(F.get("w", F.greatest(start, F.lit(0)))) == F.get("win", F.lit(0)))
-        .where(F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")), lower_ascii) == F.col("win"))
+        .where(lower_ascii(F.get("w", F.greatest(start, F.lit(0)))) == F.col("first"))
+        .where(lower_ascii(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")) == F.col("whole"))
         .select(*KEY, F.size("w").cast("long").alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
     )
     found = cut(found.distinct())
