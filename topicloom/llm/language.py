@@ -103,7 +103,7 @@ class Model:
                 k = (of == a) | (of == b)
                 names.append((a, b))
                 weights.append(linear_svm(x[k], np.where(of[k] == a, 1.0, -1.0)))
-        w = np.array(weights).reshape(len(weights), -1)
+        w = np.array(weights).reshape(len(weights), x.shape[1] + 1)
         self.names = names
         self.bias = w[:, -1].copy() if len(weights) else np.zeros(0)
         self.weights = np.ascontiguousarray((w[:, :-1] * self.scale).T.astype(np.float32)) if len(weights) else np.zeros((WIDTH, 0), np.float32)
