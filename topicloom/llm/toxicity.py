@@ -219,7 +219,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1], np.float32)
     v, prev = w.copy(), w.copy()
-    size = 0.25 * float((x * x).sum(axis=1).max()) * len(x) / 4 + ridge
+    u = np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the largest curvature bounds the step
+        u = x.T @ (x @ u)
+        top = float(np.sqrt((u * u).sum()))
+        u /= max(top, 1e-9)
+    size = 0.25 * 1.05 * top + ridge
     keep = np.ones(len(w), np.float32)
     keep[-1] = 0
     for t in range(rounds):
