@@ -643,3 +643,79 @@ def height_jumps(spark, d):
     j = h.withColumn("jump", F.col("size") - F.lag("size").over(Window.orderBy("i"))).where("jump is not null")
     stats = j.agg(F.avg("jump").alias("m"), F.stddev_pop("jump").alias("s"))
     return r6(j.crossJoin(stats).select("i", "jump", ((F.col("jump") - F.col("m")) / F.col("s")).alias("z")).where("z >= 1"))  # one row
+
+
+# --- further operators ----------------------------------------------------
+@query("select doc_id, array_to_string(list_transform(string_split(lower(lang || ' ' || source), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as label from documents")
+def title_case(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.label_word(F.concat_ws(" ", "lang", "source")).alias("label"))
+
+
+@query("select n_nationkey as id, list_sort(" + TRI.format("lower(n_name)") + ") as trigrams from nation")
+def char_trigrams(spark, d):
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array_sort(T.char_trigrams(F.lower("n_name"))).alias("trigrams"))
+
+
+@query("select vec_id as row_id, round(greatest(0, least(1, embedding[1]::double * 4)), 6) + 0.0 as clipped from embeddings")
+def clip_to_unit(spark, d):
+    return r6(read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), V.clip01(F.get("embedding", F.lit(0)).cast("double") * 4).alias("clipped")))
+
+
+@query("with " + E + "m as (select cluster_id, i, avg(x) as m from (select cluster_id, unnest(v) as x, generate_subscripts(v, 1) as i from e) group by cluster_id, i) select cluster_id, list(round(m, 6) + 0.0 order by i) as mean from m group by cluster_id")
+def mean_vectors(spark, d):
+    out = vectors(spark, d).groupBy("cluster_id").agg(V.mean(F.col("v")).alias("m"))
+    return out.select("cluster_id", F.transform("m", lambda x: F.round(x, 6) + F.lit(0.0)).alias("mean"))
+
+
+@query("with " + CENT + "x as (select 1) select a.cluster_id as a, b.cluster_id as b, round(list_dot_product(a.c, b.c), 6) + 0.0 as sim from c a, c b where a.cluster_id <> b.cluster_id")
+def centroid_matrix(spark, d):
+    return r6(C.centroid_pairs(C.centroids(vectors(spark, d)), both_ways=True))
+
+
+@query("select r::bigint as missing from range(12) t(r) where r not in (select distinct label from embeddings where label % 4 <> 1)")
+def missing_labels(spark, d):
+    used = read(spark, d, "embeddings").where("label % 4 <> 1").select(F.col("label").cast("long").alias("missing"))
+    return spark.range(12).select(F.col("id").alias("missing")).join(used, "missing", "left_anti")
+
+
+@query("select n, w, least(w, round_even(64 + least(1.0, greatest(0.0, (sqrt(w) * pow(log10(n), 0.7) - sqrt(384) * pow(log10(5000), 0.7)) / (sqrt(3072) * pow(log10(200000), 0.7) - sqrt(384) * pow(log10(5000), 0.7)))) * 448, 0))::int as width from (select unnest([5000, 20000, 100000, 200000, 1000000])::int as n), (select unnest([384, 768, 1536, 3072])::int as w)")
+def reduced_width(spark, d):
+    return spark.createDataFrame([(n, w, tuning.adaptive_width(n, w)) for n in (5000, 20000, 100000, 200000, 1000000) for w in (384, 768, 1536, 3072)], "n int, w int, width int")
+
+
+@query("select q as preset, t as tier, case q when 'fast' then 1 when 'balanced' then case t when 'tiny' then 5 when 'small' then 5 when 'medium' then 3 else 2 end else case t when 'tiny' then 15 when 'small' then 12 when 'medium' then 10 else 5 end end as restarts from (select unnest(['fast', 'balanced', 'best']) as q), (select unnest(['tiny', 'small', 'medium', 'large']) as t)")
+def restart_presets(spark, d):
+    return spark.createDataFrame([(q, t, n) for q, own in tuning.RESTARTS.items() for t, n in own.items()], "preset string, tier string, restarts int")
+
+
+@query("select n, w, least(1.0, n::double * w * 4 / 8e9) as pressure from (select unnest([1000, 1000000]) as n), (select unnest([64, 1536]) as w)")
+def memory_pressure(spark, d):
+    return spark.createDataFrame([(n, w) for n in (1000, 1000000) for w in (64, 1536)], "n int, w int").withColumn("pressure", F.least(F.lit(1.0), F.col("n").cast("double") * F.col("w") * 4 / F.lit(8e9)))
+
+
+@query("with t as (select cluster_id, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, (doc_id % 11)::int as cluster_id from documents) group by cluster_id) select cluster_id, size, first_id, last_id, (row_number() over (order by size desc, cluster_id)) as rank from t")
+def candidate_ranking(spark, d):
+    """Groups by size, the larger first; a row for each group in one window."""
+    from pyspark.sql import Window
+
+    t = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 11).cast("int").alias("cluster_id")).groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster_id")).cast("long"))
+
+
+@query()
+def cluster_medium(spark, d):
+    """The medium tier's plan, on vectors of any number."""
+    from ..operators.profile import dataset_profile
+    from . import density
+
+    rows = vectors(spark, d).select("row_id", "v")
+    rep = density.Report(n=rows.count())
+    return density._bounded(rows, tuning.Config(min_cluster_size=10, min_samples=2), "medium", "low", dataset_profile(rows), rep).select("row_id", "cluster_id")
+
+
+@query()
+def fixed_k_oversized(spark, d):
+    """More rows than ``max_samples``: a sample is fitted, all rows are assigned."""
+    from . import fixed_k
+
+    return fixed_k.split_vectors(vectors(spark, d).select("row_id", "v"), 6, {"max_samples": 200})[0].select("row_id", "cluster_id")
