@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import cut, map_texts, table
 
 DICTIONARY = 110 << 10
 IN_DOMAIN = 20_000
@@ -56,11 +56,22 @@ def segment_counts(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, size: int = DICTIONARY) -> bytes:
-    """The segments that save most, the best last, where references to them are shortest."""
-    saves = ((F.col("n") - 1) * F.octet_length("segment")).alias("saves")
-    best = counts.where("n > 1").select("segment", saves).orderBy(F.desc("saves"), "segment").limit(size // 4).collect()
+    """The segments that save most, the best last, where references to them are shortest.
+
+    A histogram of savings tells from where on segments fit the dictionary, so
+    the driver gets those alone, whatever the number of tasks.
+    """
+    saves = (F.col("n") - 1) * F.octet_length("segment")
+    again = cut(counts.where("n > 1").select("segment", saves.alias("saves"), F.floor(16 * F.log2(saves)).cast("int").alias("bin")))
+    least, held = None, 0
+    for b, n, bytes_ in sorted(again.groupBy("bin").agg(F.count("*"), F.sum(F.octet_length("segment") + 1)).collect(), reverse=True):
+        if least is not None and held + bytes_ > 2 * size:
+            break
+        least, held = b, held + bytes_
+    if least is None:
+        return b""
     out, left = [], size
-    for segment, _ in best:
+    for segment, _ in again.where(F.col("bin") >= least).select("segment", "saves").orderBy(F.desc("saves"), "segment").limit(size // 2).collect():
         piece = (segment + " ").encode()
         if len(piece) <= left:
             out.append(piece)
