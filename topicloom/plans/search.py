@@ -57,7 +57,7 @@ def diverse(candidates: list[dict], n: int, most: int = 3) -> list[dict]:
     want = max(2, int(0.35 * n**0.5))
     picked = [ranked[0]]
     for other in (min(ranked, key=lambda c: abs(c["k"] - want)), max(ranked, key=lambda c: c["separation"]), *ranked):
-        if len(picked) < most and other not in picked:
+        if len(picked) < most and not any(other is p for p in picked):
             picked.append(other)
     return picked
 
