@@ -30,8 +30,8 @@ from .common import cut, table
 
 WINDOW = 13
 BROADCAST_ROWS = 500_000
-#: Letters of either case; the case is folded word by word.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words; letters of either case are part of them, the case is folded word by word.
+BREAK = r"[\x00-/:-@\[-`{-\x7F]+"
 
 
 def lower_ascii(c: Column) -> Column:
@@ -40,12 +40,19 @@ def lower_ascii(c: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The text's words, with an empty string at either end where a break stands there; splitting takes a third of the time of matching words."""
+    return F.split(F.coalesce(text, F.lit("")), BREAK)
+
+
+def count_words(w: Column) -> Column:
+    """Words of what :func:`words` gives."""
+    edge = lambda c: (c == "").cast("int")
+    return F.greatest(F.size(w) - edge(F.get(w, F.lit(0))) - edge(F.get(w, F.size(w) - 1)), F.lit(0)).cast("long")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, size, win`` with the window's words in lower case."""
-    w = items.select("item_id", F.transform(words(F.col("text")), lower_ascii).alias("w")).where(F.size("w") > 0)
+    w = items.select("item_id", F.transform(F.filter(words(F.col("text")), lambda x: x != ""), lower_ascii).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     return w.select("item_id", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("win")).distinct()
 
@@ -93,7 +100,7 @@ def hits(text: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         .where((start >= 0) & (start + F.col("size") <= F.size("w")))
         .where(lower_ascii(F.get("w", F.greatest(start, F.lit(0)))) == F.col("first"))
         .where(lower_ascii(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")) == F.col("whole"))
-        .select(*KEY, F.size("w").cast("long").alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
+        .select(*KEY, count_words(F.col("w")).alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
     )
     found = cut(found.distinct())
     spans = found.select(*KEY, "n_words", F.struct("start", "end").alias("s")).distinct().groupBy(*KEY, "n_words").agg(F.array_sort(F.collect_list("s")).alias("s"))
@@ -112,7 +119,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
     text = word_table(docs)
     found = hits(text, items, window)
-    rows = text.select(*KEY, F.size("w").cast("long").alias("n_words"))
+    rows = text.select(*KEY, count_words(F.col("w")).alias("n_words"))
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id) & (rows.h == found.h) & (rows.len == found.len), "left")
     hit, got = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
