@@ -494,6 +494,13 @@ def fit_predict_summary(spark, d):
 
 
 # --- kernels and whole clusterings ---------------------------------------
+def _shared(spark: SparkSession) -> str:
+    """A folder that all executors see; a local one only where Spark itself is local and names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    return named or ("/tmp/topicloom" if alone else spark.conf.get("spark.sql.warehouse.dir"))
+
+
 def _k_query(name: str, k: int, n: int | None = None):
     def run(spark, d):
         from . import fixed_k
@@ -576,7 +583,7 @@ def model_round_trip(spark, d):
     from .model import FixedClusterer, FittedModel
 
     docs = read(spark, d, "documents")
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/topicloom'}/models/{uuid4().hex}"
+    path = f"{_shared(spark)}/models/{uuid4().hex}"
     FixedClusterer(6).fit(docs).save(path)
     return FittedModel.load(spark, path, "fixed").predict(docs)
 
@@ -600,9 +607,9 @@ def stream_predict(spark, d):
 
     rows = vectors(spark, d)
     model = fitted(rows, None, "density", tuning.Config(extract_keywords=False))
-    top = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/topicloom'}/streams/{uuid4().hex}"
+    top = f"{_shared(spark)}/streams/{uuid4().hex}"
     source = read(spark, d, "embeddings")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d) if not d.endswith("/") else None
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
     write_available(assign_stream(stream.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v")), model), f"{top}/out", f"{top}/state").awaitTermination()
     return spark.read.parquet(f"{top}/out")
 
