@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import common, decontaminate, pii, quality, sentencepiece_bpe, simhash
+from topicloom.llm import common, decontaminate, near_copies, pii, quality, sentencepiece_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate group; of rows with that id, one."""
-    return _same(simhash.one_of_each(_same(docs)))
+    """Keeps the document of smallest id of each group of texts linked by 5-word shingles at 0.8; of rows with that id, one."""
+    return _same(near_copies.one_of_each(_same(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

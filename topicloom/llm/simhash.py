@@ -245,13 +245,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, one of each id.
+    """The rows of ``docs`` whose id is the smallest of their group, one of each id."""
+    return least_of_each(docs, near_duplicates(docs, radius, width))
+
+
+def least_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is its ``component_id`` in ``marked``, one of each id.
 
     Texts are joined with the ids of the rows that go, which is what is left
     out, and among rows of one kept id the first by text and other columns
     stays.  Rows without an id are kept once for each group without any id.
     """
-    marked = near_duplicates(docs, radius, width)
     keep = cut(marked.where("doc_id <=> component_id").select("doc_id").distinct())
     out = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
     twice = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
