@@ -40,8 +40,10 @@ _SIGN = re.compile(f"[{SIGNS}]")
 _SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ ._*\-][^\W_](?!\w)){3,}")
 _REPEAT = re.compile(r"([^\W\d_])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(f"^[{SIGNS}.,;:?]{{2,}}|[{SIGNS}.,;:?]{{2,}}$")
+_EDGES = tuple(re.compile(x) for x in (f"^[{SIGNS}.,;:?]{{2,}}", f"[{SIGNS}.,;:?]{{2,}}$"))
 LONGEST = 40
+#: Of a token with fewer than two letters, as numbers are, a restoration counts from this mean log probability of its letters on.
+LIKELY = -3.0
 
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
 SIZE = 64
@@ -144,6 +146,16 @@ class Restorer:
         self.known[token] = best
         return best
 
+    @staticmethod
+    def forms(token: str) -> list[str]:
+        """The token as written, where its outer signs may be letters, and without those of either end or both."""
+        left, right = (x.sub("", token) for x in _EDGES)
+        return list(dict.fromkeys((token, left, right, _EDGES[1].sub("", left))))
+
+    def likely(self, word: str) -> bool:
+        x = [0, 0, *(INDEX.get(c, SIZE - 1) for c in word), 0]
+        return len(word) >= 3 and sum(self.logp[k] for k in zip(x, x[1:], x[2:], strict=False)) >= LIKELY * (len(x) - 2)
+
     def restored(self, text: str) -> list[str]:
         """Restorations of the tokens of a lower-cased text that look disguised."""
         out, done = [], 0
@@ -158,9 +170,11 @@ class Restorer:
             while end < n and end - start <= LONGEST and not text[end].isspace():
                 end += 1
             done = end
-            token = _EDGE.sub("", text[start:end].strip(".,;:?\"'()"))
-            if 3 <= len(token) <= LONGEST and _SIGN.search(token) and sum(map(str.isalpha, token)) >= 2:
-                out.append(self.decode(token))
+            for token in self.forms(text[start:end].strip(".,;:?\"'()")):
+                if 3 <= len(token) <= LONGEST and _SIGN.search(token):
+                    found = self.decode(token)
+                    if sum(map(str.isalpha, token)) >= 2 or self.likely(found):
+                        out.append(found)
         for m in _SPREAD.finditer(text):
             parts = m[0][::2]
             if len(parts) <= LONGEST and len(set(parts)) > 2:
