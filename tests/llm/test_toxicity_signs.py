@@ -30,3 +30,31 @@ def test_the_plainest_map(word):
 
 def test_numbers_that_spell_no_word_give_nothing():
     assert restorer(EDGES).restored("on 2926 and 8080 at 999") == []
+
+
+LONG = "you stupid worthless person went home and left the other quiet people behind the river " * 50
+
+
+def words(found):
+    return {w for x in found for w in x.split()}
+
+
+def test_spread_sentences_of_any_length_are_segmented():
+    r = restorer(LONG)
+    sentence = "you stupid worthless person went home and left the other quiet people behind the river"
+    for times in (1, 20):
+        spread = " ".join("".join([sentence] * times).replace(" ", ""))
+        assert set(sentence.split()) <= words(r.restored(spread))
+    assert {"stupid", "worthless"} <= words(r.restored(" ".join("stupidworthless")))
+
+
+@pytest.mark.parametrize("times", [2, 39, 60, 5000])
+def test_letters_repeated_any_number_of_times(times):
+    assert "stupid" in words(restorer(LONG).restored("a st" + "u" * (times + 1) + "pid one"))
+
+
+def test_tokens_of_any_length():
+    token = ".".join("stupid") + "_" + "-".join("w0rthl3ss") + "-" * 50 + "p30ple"
+    got = restorer(LONG).restored(f"a {token} b")
+    assert len(token) > 80 and any("stupidworthless" in x for x in got)
+    assert len(restorer(LONG).restored("h0me" * 5000)[0]) >= 20_000

@@ -41,7 +41,9 @@ _SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ ._*\-][^\W_](?!\w)){3,}")
 _REPEAT = re.compile(r"([^\W\d_])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = tuple(re.compile(x) for x in (f"^[{SIGNS}.,;:?]{{2,}}", f"[{SIGNS}.,;:?]{{2,}}$"))
-LONGEST = 40
+_LONG_RUN = re.compile(r"(\S)\1{3,}")
+#: Tokens of at most so many characters are remembered with what they decode to.
+REMEMBERED = 40
 #: Of a token with fewer than two letters, as numbers are, a restoration counts from this mean log probability of its letters on.
 LIKELY = -3.0
 
@@ -106,7 +108,8 @@ class Restorer:
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp
-        self.known: dict[str, str] = {}
+        self.flat: list[float] = logp.ravel().tolist()
+        self.known: dict[tuple[str, bool], str] = {}
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """Per position the strings that may have been meant, with log channel probabilities; the empty string is a separator or a repeat."""
@@ -123,27 +126,41 @@ class Restorer:
                 out.append([("", -0.1)])
         return out
 
-    def decode(self, token: str) -> str:
-        if (found := self.known.get(token)) is not None:
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest letters of a token of any length; with ``spaced``, words may begin at any letter."""
+        token = _LONG_RUN.sub(r"\1\1\1", token)  # no word has more
+        if (found := self.known.get((token, spaced))) is not None:
             return found
-        logp = self.logp
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for c, cost in options:
-                    if c:
-                        k = INDEX.get(c, SIZE - 1)
-                        key, s = (b, k), score + cost + logp[a, b, k]
+        flat = self.flat
+        # a state is the last two letters; its path is a chain of (path before, letters), which states share
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for at, options in enumerate(self.lattice(token)):
+            new: dict[int, tuple[float, tuple | None]] = {}
+            steps = [(c, cost, INDEX.get(c, SIZE - 1)) for c, cost in options]
+            for ab, (score, path) in states.items():
+                row, b = ab * SIZE, ab % SIZE * SIZE
+                for c, cost, k in steps:
+                    if not c:
+                        key, s = ab, score + cost
                     else:
-                        key, s = (a, b), score + cost
+                        key, s = b + k, score + cost + flat[row + k]
+                        if spaced and at:
+                            apart = score + cost + flat[row] + flat[b * SIZE + k]
+                            if k not in new or apart > new[k][0]:
+                                new[k] = (apart, (path, " " + c))
                     if key not in new or s > new[key][0]:
-                        new[key] = (s, text + c)
+                        new[key] = (s, (path, c) if c else path)
             states = new
-        best = max(((s + logp[a, b, 0], text) for (a, b), (s, text) in states.items()), key=lambda x: x[0])[1]
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[token] = best
+        path = max(((s + flat[ab * SIZE], -n, path) for n, (ab, (s, path)) in enumerate(states.items())), key=lambda x: x[:2])[2]
+        letters: list[str] = []
+        while path:
+            path, c = path
+            letters.append(c)
+        best = "".join(reversed(letters))
+        if len(token) <= REMEMBERED:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[token, spaced] = best
         return best
 
     @staticmethod
@@ -162,29 +179,33 @@ class Restorer:
         for m in _SIGN.finditer(text):
             if (at := m.start()) < done:
                 continue
-            low = max(at - LONGEST, 0)
             start = at
-            while start > low and not text[start - 1].isspace():
+            while start > done and not text[start - 1].isspace():
                 start -= 1
             end, n = at + 1, len(text)
-            while end < n and end - start <= LONGEST and not text[end].isspace():
+            while end < n and not text[end].isspace():
                 end += 1
             done = end
             for token in self.forms(text[start:end].strip(".,;:?\"'()")):
-                if 3 <= len(token) <= LONGEST and _SIGN.search(token):
+                if len(token) >= 3 and _SIGN.search(token):
                     found = self.decode(token)
                     if sum(map(str.isalpha, token)) >= 2 or self.likely(found):
                         out.append(found)
         for m in _SPREAD.finditer(text):
             parts = m[0][::2]
-            if len(parts) <= LONGEST and len(set(parts)) > 2:
-                out.append(self.decode(parts))
+            if len(set(parts)) > 2:
+                # one word, or several
+                out.extend(dict.fromkeys((self.decode(parts), self.decode(parts, spaced=True))))
+        done = 0
         for m in _REPEAT.finditer(text):
             start, end = m.span()
-            while start > 0 and start > end - LONGEST and text[start - 1].isalpha():
+            if start < done:
+                continue
+            while start > done and text[start - 1].isalpha():
                 start -= 1
-            while end < len(text) and end < start + LONGEST and text[end].isalpha():
+            while end < len(text) and text[end].isalpha():
                 end += 1
+            done = end
             out.append(self.decode(text[start:end]))
         return out
 
