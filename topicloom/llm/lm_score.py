@@ -6,10 +6,10 @@ cross-entropies, so their normalised difference,
 ``(general - in_domain) / general``, tells how much closer the document is to
 the domain, as cross-entropy difference selection does (Moore & Lewis, 2010).
 
-Dictionaries hold the segments that save most: runs of ``SEGMENT`` words are
-counted over all documents for the general one, and over about ``IN_DOMAIN``
-trusted documents for the other, a documented bound; a segment saves its length
-each time it comes again.  Dictionaries have ``DICTIONARY`` bytes at most.
+Dictionaries hold the segments that save most: runs of ``SEGMENT`` words,
+one from each word on, are counted over all documents for the general one, and
+over all trusted documents for the other; a segment saves its length each time
+it comes again.  Dictionaries have ``DICTIONARY`` bytes at most.
 
 Defined cases: a null text counts as empty, and an empty text scores 0; without
 trusted rows both dictionaries are the general one and every score is 0;
@@ -26,52 +26,70 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, table
 
 DICTIONARY = 110 << 10
-IN_DOMAIN = 20_000
-#: Words of a segment; the segments of a text don't overlap.
+#: Words of a segment; a text of fewer is one segment.
 SEGMENT = 2
 LEVEL = 3
 HOLD = 150_000
 
 
 def segment_counts(texts: DataFrame) -> DataFrame:
-    """``segment, n`` over all texts, combined within tasks before they are shuffled."""
+    """``segment, n, own`` over ``text, own``: counts in all texts and in those marked, combined within tasks before they are shuffled."""
 
     def run(batches):
         held: dict[str, int] = {}
+        marked: dict[str, int] = {}
 
         def out():
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["segment", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64()), pa.array([marked.get(s, 0) for s in held], pa.int64())], names=["segment", "n", "own"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (t or "").split()
-                for s in map(" ".join, zip(words[::SEGMENT], words[1::SEGMENT], strict=False)):
+                for s in map(" ".join, zip(*(words[i:] for i in range(SEGMENT)), strict=False)) if len(words) >= SEGMENT else [" ".join(words)] if words else ():
                     held[s] = held.get(s, 0) + 1
+                    if own:
+                        marked[s] = marked.get(s, 0) + 1
                 if len(held) > HOLD:
                     yield from out()
                     held.clear()
+                    marked.clear()
         yield from out()
 
-    return texts.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    return texts.select("text", "own").mapInArrow(run, "segment string, n long, own long").groupBy("segment").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
 
 
-def dictionary(counts: DataFrame, size: int = DICTIONARY) -> bytes:
-    """The segments that save most, the best last, where references to them are shortest.
+def _filled(histogram: list, most: int) -> tuple[int | None, int]:
+    """Of ``value, bytes``, the largest value from which on there are ``most`` bytes (none if there are fewer), and the bytes above it."""
+    held = 0
+    for value, bytes_ in sorted(histogram, reverse=True):
+        if held + bytes_ >= most:
+            return value, held
+        held += bytes_
+    return None, held
 
-    A histogram of savings tells from where on segments fit the dictionary, so
-    the driver gets those alone, whatever the number of tasks.
+
+def dictionary(counts: DataFrame, size: int = DICTIONARY, of: str = "n") -> bytes:
+    """The segments that save most by the counts in ``of``, the best last, where references to them are shortest.
+
+    Histograms of savings, coarse ones and then those within a bin, tell from
+    where on segments fill twice the dictionary, so the driver gets those
+    alone, whatever the number of tasks; of equal savings the first are taken.
     """
-    saves = (F.col("n") - 1) * F.octet_length("segment")
-    again = cut(counts.where("n > 1").select("segment", saves.alias("saves"), F.floor(16 * F.log2(saves)).cast("int").alias("bin")))
-    least, held = None, 0
-    for b, n, bytes_ in sorted(again.groupBy("bin").agg(F.count("*"), F.sum(F.octet_length("segment") + 1)).collect(), reverse=True):
-        if least is not None and held + bytes_ > 2 * size:
-            break
-        least, held = b, held + bytes_
+    saves = (F.col(of) - 1) * F.octet_length("segment")
+    bytes_ = F.octet_length("segment") + 1
+    again = counts.where((F.col(of) > 1) & (bytes_ <= size)).select("segment", saves.alias("saves"), F.floor(16 * F.log2(saves)).cast("int").alias("bin"))
+    least, held = _filled(again.groupBy("bin").agg(F.sum(bytes_)).collect(), 2 * size)
     if least is None:
-        return b""
+        rows = again.select("segment", "saves").collect()
+    else:
+        within = again.where(F.col("bin") == least)
+        tie, more = _filled(within.groupBy("saves").agg(F.sum(bytes_)).collect(), 2 * size - held)
+        ties = again.where(F.col("saves") == tie)
+        shortest = ties.agg(F.min(bytes_)).first()[0]
+        rows = again.where(F.col("saves") > tie).select("segment", "saves").collect()
+        rows += ties.select("segment", "saves").orderBy("segment").limit((2 * size - held - more) // shortest + 1).collect()
     out, left = [], size
-    for segment, _ in again.where(F.col("bin") >= least).select("segment", "saves").orderBy(F.desc("saves"), "segment").limit(size // 2).collect():
+    for segment, _ in sorted(rows, key=lambda r: (-r.saves, r.segment)):
         piece = (segment + " ").encode()
         if len(piece) <= left:
             out.append(piece)
@@ -80,13 +98,10 @@ def dictionary(counts: DataFrame, size: int = DICTIONARY) -> bytes:
 
 
 def dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    n, most = good.count(), 1 << 30
-    picked = good.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("domain")), F.lit(most)) <= int(min(1.0, IN_DOMAIN / max(n, 1)) * most))
-    general = dictionary(segment_counts(docs))
-    # at most about IN_DOMAIN ids
-    own = dictionary(segment_counts(docs.join(F.broadcast(picked), "doc_id", "left_semi"))) if n else general
-    return own or general, general
+    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("own")).distinct()
+    counts = cut(segment_counts(docs.select("doc_id", "text").join(good, "doc_id", "left")).where("n > 1"))
+    general = dictionary(counts)
+    return dictionary(counts, of="own") or general, general
 
 
 def compressed_scores(docs: DataFrame, in_domain: bytes, general: bytes) -> DataFrame:
