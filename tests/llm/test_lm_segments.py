@@ -24,3 +24,11 @@ def test_the_last_bin_is_taken_in_part(spark):
     got = lm_score.dictionary(c, 500)
     assert 480 < len(got) <= 500 and got.endswith(b"word0000 pair very common ")
     assert lm_score.dictionary(c, 500, of="own") == b""
+
+
+def test_the_best_counts_fill_the_same_dictionaries(spark):
+    texts = [" ".join(f"w{(i * i + k * k) % 37}" for k in range(40)) for i in range(60)]
+    d = spark.createDataFrame([(t, i % 3 == 0) for i, t in enumerate(texts)], "text string, own boolean")
+    best, whole = lm_score.best_counts(d, d, 200), lm_score.segment_counts(d)
+    for of in ("n", "own"):
+        assert lm_score.dictionary(best, 200, of) == lm_score.dictionary(whole, 200, of) != b""

@@ -32,8 +32,8 @@ LEVEL = 3
 HOLD = 150_000
 
 
-def segment_counts(texts: DataFrame) -> DataFrame:
-    """``segment, n, own`` over ``text, own``: counts in all texts and in those marked, combined within tasks before they are shuffled."""
+def _segments(texts: DataFrame) -> DataFrame:
+    """``segment, n, own`` over ``text, own``: counts in all texts and in those marked, combined within tasks."""
 
     def run(batches):
         held: dict[str, int] = {}
@@ -55,7 +55,11 @@ def segment_counts(texts: DataFrame) -> DataFrame:
                     marked.clear()
         yield from out()
 
-    return texts.select("text", "own").mapInArrow(run, "segment string, n long, own long").groupBy("segment").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    return texts.select("text", "own").mapInArrow(run, "segment string, n long, own long")
+
+
+def segment_counts(texts: DataFrame) -> DataFrame:
+    return _segments(texts).groupBy("segment").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
 
 
 def _filled(histogram: list, most: int) -> tuple[int | None, int]:
@@ -68,6 +72,31 @@ def _filled(histogram: list, most: int) -> tuple[int | None, int]:
     return None, held
 
 
+def _least(counts: DataFrame, most: int, of: str) -> int:
+    """The savings from which on the segments of ``counts`` (``bytes, n, own``) have ``most`` bytes."""
+    saves = (F.col(of) - 1) * F.col("bytes")
+    again = counts.where(F.col(of) > 1).select("bytes", saves.alias("saves"), F.floor(16 * F.log2(saves)).cast("int").alias("bin"))
+    least, held = _filled(again.groupBy("bin").agg(F.sum(F.col("bytes") + 1)).collect(), most)
+    if least is None:
+        return 0
+    return _filled(again.where(F.col("bin") == least).groupBy("saves").agg(F.sum(F.col("bytes") + 1)).collect(), most - held)[0]
+
+
+def best_counts(texts: DataFrame, docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
+    """``segment, n, own`` of the segments that dictionaries of ``size`` bytes are filled from.
+
+    Counts are shuffled by the segments' hashes; a second pass over ``docs``
+    finds how those that save enough are written.
+    """
+    code = F.xxhash64("segment").alias("code")
+    counts = _segments(texts).select(code, "n", "own", F.octet_length("segment").alias("bytes")).groupBy("code").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.min("bytes").alias("bytes"))
+    counts = cut(counts.where((F.col("n") > 1) & (F.col("bytes") < size)))
+    enough = [(F.col(of) > 1) & ((F.col(of) - 1) * F.col("bytes") >= _least(counts, 2 * size, of)) for of in ("n", "own")]
+    # about as many as fill both dictionaries twice, and those of equal savings
+    best = F.broadcast(counts.where(enough[0] | enough[1]).select("code", "n", "own"))
+    return _segments(docs.select("text", F.lit(None).cast("boolean").alias("own"))).select("segment", code).join(best, "code").groupBy("segment").agg(F.first("n").alias("n"), F.first("own").alias("own"))
+
+
 def dictionary(counts: DataFrame, size: int = DICTIONARY, of: str = "n") -> bytes:
     """The segments that save most by the counts in ``of``, the best last, where references to them are shortest.
 
@@ -99,7 +128,7 @@ def dictionary(counts: DataFrame, size: int = DICTIONARY, of: str = "n") -> byte
 
 def dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
     good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("own")).distinct()
-    counts = cut(segment_counts(docs.select("doc_id", "text").join(good, "doc_id", "left")).where("n > 1"))
+    counts = cut(best_counts(docs.select("doc_id", "text").join(good, "doc_id", "left"), docs))
     general = dictionary(counts)
     return dictionary(counts, of="own") or general, general
 
