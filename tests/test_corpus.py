@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 
 from topicloom.functions import embed as E
@@ -13,16 +16,28 @@ def docs(spark, texts):
 def test_cleaning_and_projection(spark):
     d = docs(spark, ["Hello,  WORLD!", None, "", "hello world", "...", "Über½ çà"])
     rows = P.cleaned(d)
-    assert [r[1] for r in rows.orderBy("row_id").collect()] == ["hello world", None, None, "hello world", None, "über½ çà"]
+    assert [r[1] for r in rows.orderBy("row_id").collect()] == ["hello world", None, None, "hello world", None, "über1 2 çà"]
     u = P.unique_texts(rows)
-    assert sorted(map(tuple, u.collect())) == [(0, "hello world", 0), (1, "über½ çà", 5)]
+    assert sorted(map(tuple, u.collect())) == [(0, "hello world", 0), (1, "über1 2 çà", 5)]
     out = P.project_labels(rows, u.select("clean_text", u.proc_id.cast("int").alias("cluster_id")))
     assert [r[1] for r in out.orderBy("row_id").collect()] == [0, -1, -1, 0, -1, 1]
 
 
 def test_numbering_over_blocks(spark):
-    df = spark.createDataFrame([(i * 7,) for i in range(50)], "k long")
-    assert [r[1] for r in P.dense_index(df, "k", "i", block=16).orderBy("k").collect()] == list(range(50))
+    keys = [i * 7 for i in range(50)] + [2**61 + i * 2**40 for i in range(50)] + [-(3**k) for k in range(20)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for blocks in (1, 7, 1024):
+        assert [r[0] for r in P.dense_index(df, "k", "i", blocks).orderBy("k").select("i").collect()] == list(range(120))
+
+
+def test_hashed_ids_fill_a_bounded_number_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    out = P.dense_index(df, "k", "i", 64)
+    assert out.agg(F.count_distinct("i"), F.min("i"), F.max("i")).first() == (20_000, 0, 19_999)
+    wrong = out.select("k", "i").join(df.withColumn("own", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("k")) - 1), "k").where("i <> own")
+    assert wrong.isEmpty()
 
 
 def test_text_column_must_be_a_string(spark):
@@ -33,7 +48,23 @@ def test_text_column_must_be_a_string(spark):
 def test_nfkc(spark):
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in docs(spark, ["ﬁne", "plain", None]).select(T.nfkc(F.col("text"))).collect()] == ["fine", "plain", None]
+    texts = ["ﬁne", "plain", None, "", "①②", "Å", "e\u0301", "ｶﾞ", "ﷺ", "x²", "\u00a0a\u2003b", "한글", "ﬀ½", "😀"]
+    want = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert [r[0] for r in docs(spark, texts).orderBy("doc_id").select(T.nfkc(F.col("text"))).collect()] == want
+    bare = ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts if t]
+    assert [r[0] for r in docs(spark, [t for t in texts if t]).orderBy("doc_id").select(T.strip_accents(F.col("text"))).collect()] == bare
+
+
+def test_full_cleaning_is_that_of_python(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["  ﬁne—Ｗｏｒｄｓ,  here! ", "Ünï_code\t①", "…", "a\u2028b", "Straße №5"]
+
+    def plain(t):
+        t = re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t).lower())
+        return re.sub(r"\s+", " ", t).strip()
+
+    assert [r[0] for r in docs(spark, texts).orderBy("doc_id").select(T.clean(F.col("text"))).collect()] == list(map(plain, texts))
 
 
 def test_embedder_adapters():
@@ -95,3 +126,10 @@ def test_limits(spark):
         FixedClusterer(1)
     with pytest.raises(ValueError):
         DensityClusterer(max_samples=2).labels(d)
+
+
+def test_more_rows_than_max_samples_are_assigned_to_what_a_sample_gives(spark):
+    d = docs(spark, topics())
+    with pytest.warns(UserWarning):
+        out, report = DensityClusterer(max_samples=10, allow_oversized=True).labels_with_report(d)
+    assert "oversized-subsampled" in report.warnings and out.count() == 24 and out.select("cluster_id").distinct().count() >= 2

@@ -124,3 +124,31 @@ def test_options_are_checked():
     for bad in ({"quality": "x"}, {"cluster_granularity": "x"}, {"random_state": -1}, {"batch_size": 0}, {"nope": 1}, {"min_cluster_size": 1}):
         with pytest.raises(ValueError):
             tuning.Config.of(bad)
+
+
+def test_spectral_falls_back_on_k_means(monkeypatch):
+    x, truth = blobs(k=3)
+
+    def fails(*_):
+        raise np.linalg.LinAlgError
+
+    monkeypatch.setattr(N, "_leading", fails)
+    assert same(N.spectral(x, 3, 0), truth)
+
+
+def test_a_cluster_of_two_groups_is_split():
+    x, truth = blobs(k=4, n=40)
+    labels = np.where(truth == 3, 2, truth)
+    for got in (search.split_oversized(x, labels), search.split_oversized(x, labels, least=8, cohesive=0.88, gain=0.0)):
+        assert len(set(got.tolist())) == 4 and same(got, truth)
+    assert (search.split_oversized(x, truth) == truth).all()
+
+
+def test_floors_lie_under_the_worst_run():
+    run = lambda tier, score: {"tier": tier, "score": score, "ari": 0.5, "k": 4, "n": 10, "dataset": "d", "embedder": "e"}
+    got = tuning.calibrate_floors([run("tiny", 0.8), run("tiny", 0.6)], {"small": {"floor": 0.1}})
+    assert got["tiny"]["score"] == 0.7 and got["tiny"]["floor"] == pytest.approx(0.45) and got["tiny"]["runs"] == 2 and got["small"] == {"floor": 0.1}
+
+
+def test_a_giant_cluster_is_refined():
+    assert tuning.blob(0.9, 3, 0.1, 0.9) and tuning.blob(0.6, 1, 0.9, 0.2) and not tuning.blob(0.2, 10, 0.1, 0.1) and not tuning.blob(0.5, 2, 0.1, 0.1)

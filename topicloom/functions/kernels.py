@@ -245,8 +245,23 @@ def balanced(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return labels
 
 
+def best_kmeans(x: np.ndarray, k: int, seed: int, tries: int = 3) -> np.ndarray:
+    """The labelling of least inertia over some seeds."""
+    return min((kmeans(x, k, (seed + i) % 2**32) for i in range(tries)), key=lambda r: r[1])[0]
+
+
 def spectral(x: np.ndarray, k: int, seed: int, clip: bool = False) -> np.ndarray:
-    """Clusters of the leading eigenvectors of the normalised cosine affinity."""
+    """Clusters of the leading eigenvectors of the normalised cosine affinity; plain k-means where these don't come about."""
+    try:
+        e = _leading(x, k, seed, clip)
+        if np.isfinite(e).all():
+            return kmeans(unit_rows(e), k, seed)[0]
+    except np.linalg.LinAlgError:
+        pass
+    return best_kmeans(x, k, seed)
+
+
+def _leading(x: np.ndarray, k: int, seed: int, clip: bool) -> np.ndarray:
     u = unit_rows(x)
     a = np.clip(u @ u.T, 0, 1) if clip else (np.clip(u @ u.T, -1, 1) + 1) / 2
     d = 1 / np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
@@ -256,10 +271,8 @@ def spectral(x: np.ndarray, k: int, seed: int, clip: bool = False) -> np.ndarray
         for _ in range(60):
             q = np.linalg.qr(a @ q + q)[0]
         w, v = np.linalg.eigh(q.T @ a @ q)
-        e = (q @ v)[:, np.argsort(-w)[:k]]
-    else:
-        e = np.linalg.eigh(a)[1][:, -k:]
-    return kmeans(unit_rows(e), k, seed)[0]
+        return (q @ v)[:, np.argsort(-w)[:k]]
+    return np.linalg.eigh(a)[1][:, -k:]
 
 
 def pca(x: np.ndarray, k: int) -> np.ndarray:
@@ -270,17 +283,21 @@ def pca(x: np.ndarray, k: int) -> np.ndarray:
     return c @ axes
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray, block: int = 512) -> float:
-    """Mean cosine silhouette; rows alone in their cluster count as 0; -1 for fewer than two clusters."""
+def silhouette(x: np.ndarray, labels: np.ndarray, block: int = 4096) -> float:
+    """Mean cosine silhouette over all rows; rows alone in their cluster count as 0; -1 for fewer than two clusters.
+
+    Sums of cosine distances to a cluster follow from the sum of its unit rows.
+    """
     names, at = np.unique(labels, return_inverse=True)
     if len(names) < 2 or len(names) >= len(x):
         return -1.0
     u, n = unit_rows(x), np.bincount(at)
-    member = np.eye(len(names))[at]
+    sums = np.zeros((len(names), u.shape[1]))
+    np.add.at(sums, at, u)
     total = 0.0
     for i in range(0, len(x), block):
         own = at[i : i + block]
-        s = (1 - u[i : i + block] @ u.T) @ member
+        s = n - u[i : i + block] @ sums.T
         rows = np.arange(len(own))
         a = s[rows, own] / np.maximum(n[own] - 1, 1)
         s = s / n

@@ -1,29 +1,31 @@
-"""Column expressions on text, all evaluated in the JVM but for NFKC."""
+"""Column expressions on text, all evaluated in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _icu(method: str, text: Column) -> Column:
+    """A compatibility form by Spark's own copy of ICU; plain ASCII text is its own form and null stays null."""
+    plain = text.isNull() | (F.octet_length(text) == F.char_length(text))
+    return F.when(plain, text).otherwise(F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(True)))
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form; plain ASCII text is its own and stays out of Python."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_nfkc(text))
+    return _icu("compose", text)
+
+
+def strip_accents(text: Column) -> Column:
+    """NFKD form without combining marks."""
+    return F.regexp_replace(_icu("decompose", text), r"\p{Mn}+", "")
 
 
 def clean(text: Column, lowercase: bool = True, punctuation: bool = True) -> Column:
-    """Lower case, punctuation to spaces, white space collapsed and trimmed; null stays null."""
+    """NFKC form, lower case, punctuation to spaces, white space collapsed and trimmed; null stays null."""
+    text = nfkc(text)
     if lowercase:
         text = F.lower(text)
     if punctuation:
@@ -55,19 +57,38 @@ def label_word(word: Column) -> Column:
     return F.initcap(word)
 
 
-VERBS = "be do go get make take say know think see come want use find give tell work call try ask need feel become leave put mean keep let begin seem help show hear play run move like live believe hold bring happen write provide sit stand lose pay meet include continue set learn change lead understand watch follow stop create speak read allow add spend grow open walk win offer remember love consider appear buy wait serve die send expect build stay fall cut reach kill remain suggest raise pass sell require report decide pull going doing making getting using trying saying said made took went got".split()
-ADJECTIVES = "good new first last long great little own other old right big high different small large next early young important few public bad same able free better best sure real full special easy clear recent certain personal open red difficult available likely short single medical current wrong private past foreign fine common poor natural significant similar hot dead central happy serious ready simple left physical general environmental financial blue democratic dark various entire close legal religious cold final main green nice huge popular traditional cultural".split()
-NOUN_ENDINGS = "tion sion ment ness ity ism ist ance ence ship ology graphy ware age ure er or".split()
+#: Verbs of statements, by what they are about; the third person counts as well.
+_STEMS = (
+    "make create build develop generate implement compute calculate execute run work use apply process handle serve provide support "
+    "transform convert update replace reduce decrease increase expand extend improve enhance optimize normalize scale shape vary restore "
+    "learn train predict estimate evaluate measure analyze classify identify detect determine define interpret verify validate visualize monitor track represent reveal show cluster filter "
+    "organize manage control govern regulate schedule assign distribute integrate combine connect link relate collect store retrieve extract transfer maintain configure deploy automate "
+    "affect allow enable ensure require involve include contain remain occur depend drive guide help promote protect prevent limit trigger treat harm exploit expose capture convey remove resolve settle solve add "
+).split()
+
+
+def third_person(verb: str) -> str:
+    if verb[-1] == "y" and verb[-2] not in "aeiou":
+        return verb[:-1] + "ies"
+    return verb + ("es" if verb.endswith(("s", "sh", "ch", "x", "z")) else "s")
+
+
+VERBS = [*_STEMS, *map(third_person, _STEMS)]
+ADJECTIVES = "specific advanced based automated integrated encrypted distributed decentralized optimized reliable scalable sustainable renewable flexible multiple secure collaborative effective adaptive global critical local essential general digital virtual driven common various important efficient robust secondary primary".split()
+NOUN_ENDINGS = "al ty acy ery gy ity logy ology ics ure ness ment ance ence sion tion ware work".split()
 
 
 def label_score(term: Column, score: Column) -> Column:
-    """How well a keyword reads as a label: two-word terms and noun endings gain, adjectives lose, verbs are out."""
+    """How well a keyword reads as a label: two-word terms and noun endings gain, adjectives lose, verbs are out.
+
+    An ending counts behind three letters at least.
+    """
     words = F.split(term, " ")
     n = F.size(words)
     verbs, adjectives = (F.array(*(F.lit(w) for w in own)) for own in (VERBS, ADJECTIVES))
     verb = F.exists(words, lambda w: F.array_contains(verbs, w))
     some = F.exists(words, lambda w: F.array_contains(adjectives, w))
     every = F.forall(words, lambda w: F.array_contains(adjectives, w))
-    noun = F.regexp(F.element_at(words, -1), F.lit("(" + "|".join(NOUN_ENDINGS) + ")$"))
+    noun = F.regexp(F.element_at(words, -1), F.lit("...(" + "|".join(NOUN_ENDINGS) + ")$"))
     gain = F.when(n == 2, F.lit(1.55)).otherwise(F.lit(1.0)) * F.when(noun, F.lit(1.35)).otherwise(F.lit(1.0)) * F.when(some, F.lit(0.30)).otherwise(F.lit(1.0))
     return F.when(verb | every | (n > 2), F.lit(0.0)).otherwise(score.cast("double") * gain)

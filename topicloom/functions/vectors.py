@@ -19,8 +19,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector over its length, which counts as ``TINY`` at least."""
-    return F.transform(F.transform(v, lambda x: x.cast("double")), lambda x: x / F.greatest(norm(v), F.lit(TINY)))
+    """The vector over its length, which counts as ``TINY`` at least.
+
+    The length is bound as the one element of an array, as it would be computed
+    anew for each component inside the lambda.
+    """
+    return F.get(F.transform(F.array(F.greatest(norm(v), F.lit(TINY))), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def mean(v: Column) -> Column:

@@ -1,8 +1,9 @@
 """Statistics of clusters of vectors, thresholds, assignment and merging.
 
 Tables of rows have ``row_id, cluster_id, v``; tables of clusters have
-``cluster_id, size, c`` with the unit centroid ``c``.  The latter are small,
-but their size is checked before they are broadcast.
+``cluster_id, size, c`` with the unit centroid ``c``.  Joins between the two
+carry no hints, so Spark broadcasts tables of clusters only below its own limit;
+matrices of centroids are broadcast up to ``BROADCAST_BYTES``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..shared import cut
+from .quantiles import percentiles
 
 #: Bytes of centroids that are broadcast to workers; more are met block by block.
 BROADCAST_BYTES = 64 << 20
@@ -31,16 +34,17 @@ def similarities(rows: DataFrame, cents: DataFrame) -> DataFrame:
 
 def calibration(sims: DataFrame) -> DataFrame:
     """Size and quantiles of the cosines in each cluster; quantiles interpolate."""
-    q = lambda p: F.percentile("sim", F.lit(p))
-    return sims.groupBy("cluster_id").agg(
-        F.count("*").alias("size"), F.min("sim").alias("min_sim"), F.avg("sim").alias("mean_sim"), q(0.1).alias("p10_sim"), q(0.5).alias("median_sim"), F.stddev_pop("sim").alias("std_sim"), q(0.25).alias("p25_sim"), F.percentile(1 - F.col("sim"), F.lit(0.95)).alias("radius_95")
-    )
+    q = percentiles(sims, ["cluster_id"], "sim", [0.1, 0.5, 0.25, 0.05])
+    rest = sims.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("sim").alias("min_sim"), F.avg("sim").alias("mean_sim"), F.stddev_pop("sim").alias("std_sim"))
+    p = F.col("p")
+    return rest.join(q.drop("n"), "cluster_id").select("cluster_id", "size", "min_sim", "mean_sim", p[0].alias("p10_sim"), p[1].alias("median_sim"), "std_sim", p[2].alias("p25_sim"), (1 - p[3]).alias("radius_95"))
 
 
 def cluster_stats(sims: DataFrame) -> DataFrame:
     """Size, cohesion and the distance threshold of each cluster."""
-    far = F.percentile(1 - F.col("sim"), F.lit(0.9)) + 0.03
-    return sims.groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg("sim").alias("cohesion"), F.greatest(F.lit(0.05), F.least(F.lit(0.35), far)).alias("threshold"))
+    far = 1 - F.col("p")[0] + 0.03
+    rest = sims.groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg("sim").alias("cohesion"))
+    return rest.join(percentiles(sims, ["cluster_id"], "sim", [0.1]).drop("n"), "cluster_id").select("cluster_id", "size", "cohesion", F.greatest(F.lit(0.05), F.least(F.lit(0.35), far)).alias("threshold"))
 
 
 def centroid_pairs(cents: DataFrame, both_ways: bool = False) -> DataFrame:
@@ -52,17 +56,18 @@ def centroid_pairs(cents: DataFrame, both_ways: bool = False) -> DataFrame:
 
 def global_threshold(sims: DataFrame, cents: DataFrame) -> DataFrame:
     """One row, ``threshold``; null with fewer than two members."""
-    p5 = sims.agg(F.count("*").alias("n"), F.percentile("sim", F.lit(0.05)).alias("p5"))
-    inter = centroid_pairs(cents).agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("inter"))
+    p5 = percentiles(sims, [], "sim", [0.05]).select("n", F.col("p")[0].alias("p5"))
+    inter = nearest_clusters(cents, 1).agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("inter"))
     value = F.greatest(F.lit(0.05), F.col("p5") * 0.90 - 0.05 * F.greatest(F.lit(0.0), F.col("inter")))
     return p5.crossJoin(inter).select(F.when(F.col("n") >= 2, value).alias("threshold"))  # one row each
 
 
 def adaptive_thresholds(stats: DataFrame, cents: DataFrame, overall: DataFrame) -> DataFrame:
     """``cluster_id, threshold`` by size, spread and how close other clusters are."""
-    pairs = centroid_pairs(cents, both_ways=True).groupBy(F.col("a").alias("cluster_id")).agg(F.sum((F.col("sim") > 0.7).cast("double")).alias("close"))
+    near = close_pairs(cents, 0.7).where("sim > 0.7")
+    pairs = near.select("a").unionAll(near.select("b")).groupBy(F.col("a").cast("int").alias("cluster_id")).agg(F.count("*").cast("double").alias("close"))
     totals = stats.agg(F.sum("size").alias("total"), F.max("size").alias("largest"))
-    inter = centroid_pairs(cents).agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("inter"))
+    inter = nearest_clusters(cents, 1).agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("inter"))
     s = F.col("size").cast("double")
     share = (s - 10.0) / 40.0
     base = F.when(F.col("size") >= 50, F.col("p10_sim")).when(F.col("size") >= 10, F.col("p25_sim") * (1.0 - share) + F.col("p10_sim") * share).otherwise(F.col("p25_sim"))
@@ -72,7 +77,7 @@ def adaptive_thresholds(stats: DataFrame, cents: DataFrame, overall: DataFrame)
     pull = F.when(small, 0.45 + 0.10 * full).otherwise(0.70 + 0.15 * full)
     bonus = F.when(small, F.least(bonus, F.lit(0.02))).otherwise(bonus)
     theta = F.greatest(F.lit(0.05), base * pull - 0.03 * F.coalesce("close", F.lit(0.0)) + bonus - 0.02 * F.greatest(F.lit(0.0), F.col("inter")))
-    joined = stats.join(F.broadcast(pairs), "cluster_id", "left").crossJoin(totals).crossJoin(inter).crossJoin(overall.withColumnRenamed("threshold", "overall"))  # one row each
+    joined = stats.join(pairs, "cluster_id", "left").crossJoin(totals).crossJoin(inter).crossJoin(overall.withColumnRenamed("threshold", "overall"))  # one row each
     return joined.select("cluster_id", F.when(small & F.col("overall").isNotNull(), F.least(theta, F.col("overall"))).otherwise(theta).alias("threshold"))
 
 
@@ -102,11 +107,11 @@ def nearest_two(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """Rows with ``best, best_sim, second, second_sim``; equal cosines go to the smaller id."""
     matrix = _matrix(cents)
     if matrix is None:
-        pairs = rows.select("row_id", V.unit(F.col("v")).alias("u")).crossJoin(cents.select("cluster_id", "c")).select("row_id", F.struct((-V.dot(F.col("u"), F.col("c"))).alias("far"), "cluster_id").alias("x"))
-        two = pairs.groupBy("row_id").agg(F.min("x").alias("x1"))
-        rest = pairs.join(two, "row_id").where("x > x1").groupBy("row_id").agg(F.min("x").alias("x2"))
-        found = two.join(rest, "row_id", "left").select("row_id", F.col("x1.cluster_id").alias("best"), (-F.col("x1.far")).alias("best_sim"), F.col("x2.cluster_id").alias("second"), (-F.col("x2.far")).alias("second_sim"))
-        return rows.join(found, "row_id")
+        met = block_similarities(_as_rows(cents), rows, keep=2)
+        order = Window.partitionBy("b").orderBy(F.desc(F.round("sim", 12)), "a")
+        two = met.withColumn("i", F.row_number().over(order)).where("i <= 2").groupBy(F.col("b").alias("row_id"))
+        at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+        return rows.join(two.agg(at(1, "a").alias("best"), at(1, "sim").alias("best_sim"), at(2, "a").alias("second"), at(2, "sim").alias("second_sim")), "row_id")
     shared = rows.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf("best long, best_sim double, second long, second_sim double")
@@ -128,12 +133,90 @@ def nearest_two(rows: DataFrame, cents: DataFrame) -> DataFrame:
     return rows.withColumn("_a", assign("v")).select(*rows.columns, "_a.best", "_a.best_sim", "_a.second", F.when(F.col("_a.second").isNotNull(), F.col("_a.second_sim")).alias("second_sim"))
 
 
+def block_similarities(queries: DataFrame, rows: DataFrame, block: int = 1024, keep: int | None = None, least: float | None = None, others: bool = False) -> DataFrame:
+    """``a, b, sim``: the cosine of each query ``a`` with each row ``b``; both tables have ``row_id, v``.
+
+    Queries are dealt to blocks; each block's matrix is broadcast and the rows
+    pass it once, so neither side is shuffled.  With ``keep``, only a row's nearest
+    ``keep`` queries of each block are given, equal ones by id; with ``least``,
+    only cosines of that much; with ``others``, no row with itself.
+    """
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    at = F.pmod(F.xxhash64(F.col("row_id").cast("string"), F.lit("block")), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        got = queries.where(at == i).select("row_id", "v").orderBy("row_id").toArrow()
+        if not got.num_rows:
+            continue
+        q = np.stack([np.asarray(v, np.float64) for v in got["v"].to_pylist()])
+        shared = spark.sparkContext.broadcast((got["row_id"].to_numpy(), q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), V.TINY)))
+
+        def run(frames, shared=shared):
+            ids, u = shared.value
+            for whole in frames:
+                for first in range(0, len(whole), 1024):
+                    frame = whole.iloc[first : first + 1024]
+                    x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+                    own, s = frame["row_id"].to_numpy(), (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), V.TINY)) @ u.T
+                    r, c = np.divmod(np.arange(s.size), len(ids))
+                    if others:
+                        s[own[:, None] == ids[None, :]] = -np.inf
+                    if keep is not None:
+                        r, c = np.repeat(np.arange(len(x)), min(keep, len(ids))), np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :keep].ravel()
+                    sim = s[r, c]
+                    ok = sim >= (-2.0 if least is None else least)
+                    yield pd.DataFrame({"a": ids[c[ok]], "b": own[r[ok]], "sim": sim[ok]})
+
+        part = rows.select("row_id", "v").mapInPandas(run, "a long, b long, sim double")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else spark.createDataFrame([], "a long, b long, sim double")
+
+
+def _as_rows(cents: DataFrame) -> DataFrame:
+    return cents.select(F.col("cluster_id").cast("long").alias("row_id"), F.col("c").alias("v"))
+
+
+def nearest_clusters(cents: DataFrame, k: int) -> DataFrame:
+    """``a, b, sim, rank``: for each cluster ``a`` the ``k`` clusters with the nearest centroids, equal ones by id; blockwise, never all pairs at once."""
+    met = block_similarities(_as_rows(cents), _as_rows(cents), keep=k, others=True).select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def close_pairs(cents: DataFrame, least: float) -> DataFrame:
+    """``a, b, sim`` of cluster pairs ``a < b`` whose centroids have that cosine or more; blockwise."""
+    return block_similarities(_as_rows(cents), _as_rows(cents), least=least).where("a < b")
+
+
+def mean_pair_similarity(cents: DataFrame) -> float:
+    """Mean cosine over all pairs of centroids, from the length of their sum."""
+    n, total = cents.agg(F.count("*"), V.mean(F.col("c"))).first()
+    if n < 2:
+        return 0.0
+    s = np.asarray(total) * n
+    return float((s @ s - n) / (n * (n - 1)))
+
+
+def all_identical(rows: DataFrame, most: float = 1e-9) -> DataFrame:
+    """One row, ``identical``: whether no component differs by more than ``most`` from the first row's."""
+    first = rows.agg(F.min_by("v", "row_id").alias("f"))
+    gap = F.array_max(F.zip_with("v", "f", lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    return rows.crossJoin(first).agg((F.max(gap) <= most).alias("identical"))  # one row
+
+
+def assign_noise(rows: DataFrame, cents: DataFrame) -> DataFrame:
+    """``row_id, cluster_id``: rows without a cluster go to the nearest centroid, others stay."""
+    found = nearest_two(rows, cents)
+    return found.select("row_id", F.when(F.col("cluster_id") < 0, F.col("best")).otherwise(F.col("cluster_id")).cast("int").alias("cluster_id"))
+
+
 def with_margin(found: DataFrame, keywords: DataFrame, margin: float = 0.015) -> DataFrame:
     """Adds ``chosen``: the runner-up if it is as close within the margin and has over two keywords more.
 
     ``keywords`` has ``cluster_id, n``, the number of distinct lower-case keywords.
     """
-    k = F.broadcast(keywords)
+    k = keywords
     joined = found.join(k.select(F.col("cluster_id").alias("best"), F.col("n").alias("n1")), "best", "left").join(k.select(F.col("cluster_id").alias("second"), F.col("n").alias("n2")), "second", "left")
     other = (F.col("best_sim") - F.col("second_sim") < margin) & (F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)) + 2)
     return joined.withColumn("chosen", F.when(other, F.col("second")).otherwise(F.col("best"))).drop("n1", "n2")
@@ -142,7 +225,7 @@ def with_margin(found: DataFrame, keywords: DataFrame, margin: float = 0.015) ->
 def reject_outliers(found: DataFrame, thresholds: DataFrame | None, value: float | None = None, chosen: str = "best") -> DataFrame:
     """``row_id, cluster_id, sim``: -1 where the best cosine is under the threshold of the nearest cluster, or under ``value``."""
     if thresholds is not None:
-        found = found.join(F.broadcast(thresholds.select(F.col("cluster_id").alias("best"), "threshold")), "best", "left")
+        found = found.join(thresholds.select(F.col("cluster_id").alias("best"), "threshold"), "best", "left")
         limit: Column = F.coalesce("threshold", F.lit(0.05))
     else:
         limit = F.lit(-2.0 if value is None else value)
@@ -153,7 +236,7 @@ def recover_noise(rows: DataFrame, cents: DataFrame, sims: DataFrame) -> DataFra
     """``row_id, cluster_id`` of noise rows that are close enough to a cluster and clearly closer than to the next."""
     reach = sims.groupBy("cluster_id").agg(F.greatest(1.5 * F.max(1 - F.col("sim")), F.lit(0.40)).alias("reach"))
     found = nearest_two(rows.where("cluster_id < 0"), cents)
-    near = found.join(F.broadcast(reach.select(F.col("cluster_id").alias("best"), "reach")), "best")
+    near = found.join(reach.select(F.col("cluster_id").alias("best"), "reach"), "best")
     clear = F.col("second_sim").isNull() | (F.col("best_sim") - F.col("second_sim") > 0.01)
     return near.where((1 - F.col("best_sim") <= F.col("reach")) & clear).select("row_id", F.col("best").cast("int").alias("cluster_id"))
 
@@ -180,39 +263,45 @@ def merge_roots(pairs: DataFrame, ids: list[int]) -> dict[int, int]:
 
 def relabel(rows: DataFrame, roots: dict[int, int]) -> DataFrame:
     table = rows.sparkSession.createDataFrame([(a, b) for a, b in roots.items()], "cluster_id int, _root int")
-    return rows.join(F.broadcast(table), "cluster_id", "left").withColumn("cluster_id", F.coalesce("_root", "cluster_id")).drop("_root")
+    return rows.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_root", "cluster_id")).drop("_root")
 
 
-def near_duplicate_limit(pairs: DataFrame) -> float:
-    return max(0.88, (pairs.agg(F.avg("sim")).first()[0] or 0.0) + 0.03)
+def near_duplicate_limit(cents: DataFrame) -> float:
+    return max(0.88, mean_pair_similarity(cents) + 0.03)
 
 
 def merge_near_duplicates(rows: DataFrame) -> DataFrame:
-    cents = centroids(rows)
-    pairs = centroid_pairs(cents)
-    return relabel(rows, merge_roots(pairs.where(F.col("sim") >= near_duplicate_limit(pairs)), [r[0] for r in cents.select("cluster_id").collect()]))
+    cents = cut(centroids(rows))
+    return relabel(rows, merge_roots(close_pairs(cents, near_duplicate_limit(cents)), [r[0] for r in cents.select("cluster_id").collect()]))
 
 
 def merge_by_similarity(rows: DataFrame, limit: float) -> tuple[DataFrame, int]:
-    """Merges clusters whose centroids are that similar until none are; ``(rows, number of merges)``."""
+    """Merges clusters whose centroids are that similar until none are; ``(rows, number of merges)``.
+
+    Rounds work on the clusters' sums of unit vectors; rows are labelled anew once.
+    """
+    own = rows.where("cluster_id >= 0").select("cluster_id", V.unit(F.col("v")).alias("u"))
+    sums = cut(own.groupBy("cluster_id").agg(F.count("*").cast("double").alias("n"), V.mean(F.col("u")).alias("m")))
+    roots = {r[0]: r[0] for r in sums.select("cluster_id").collect()}
     merges = 0
     while True:
-        cents = centroids(rows)
-        ids = [r[0] for r in cents.select("cluster_id").collect()]
-        roots = merge_roots(centroid_pairs(cents).where(F.col("sim") >= limit), ids)
-        done = sum(a != b for a, b in roots.items())
+        cents = sums.select("cluster_id", V.unit(F.col("m")).alias("c"))
+        step = merge_roots(close_pairs(cents, limit), sorted(set(roots.values())))
+        done = sum(a != b for a, b in step.items())
         if not done:
-            return rows, merges
+            return (relabel(rows, roots) if merges else rows), merges
         merges += done
-        rows = relabel(rows, roots)
+        roots = {a: step[b] for a, b in roots.items()}
+        weighed = F.transform("m", lambda x: x * F.col("n"))
+        added = relabel(sums, step).withColumn("w", weighed).groupBy("cluster_id").agg(F.sum("n").alias("n"), V.mean(F.col("w")).alias("m"))
+        sums = cut(added)  # the length of a mean doesn't matter
 
 
 def mutual_pairs(cents: DataFrame, limit: float, k: int = 3) -> DataFrame:
-    """``a, b`` of clusters in different shards that are among each other's ``k`` nearest; ``cents`` also has ``shard`` and ``radius``."""
-    x = cents.select(F.col("cluster_id").alias("a"), F.col("c").alias("ca"), F.col("shard").alias("sa"), F.col("radius").alias("wa"))
-    y = cents.select(F.col("cluster_id").alias("b"), F.col("c").alias("cb"), F.col("shard").alias("sb"), F.col("radius").alias("wb"))
-    pairs = x.join(y, F.col("a") != F.col("b")).withColumn("sim", V.dot(F.col("ca"), F.col("cb"))).drop("ca", "cb")
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("rank") <= k)
+    """``a, b, sim`` of clusters in different shards that are among each other's ``k`` nearest; ``cents`` also has ``shard`` and ``radius``."""
+    near = cut(nearest_clusters(cents, k))
+    of = cents.select(F.col("cluster_id").cast("long").alias("i"), F.col("shard").alias("s"), F.col("radius").alias("w"))
+    x, y = of.select(F.col("i").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa")), of.select(F.col("i").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
     ok = (F.col("sa") != F.col("sb")) & (F.col("sim") >= limit) & (1 - F.col("sim") <= F.greatest(F.lit(0.08), F.greatest("wa", "wb") + 0.03))
     other = near.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return near.where(ok & (F.col("a") < F.col("b"))).join(other, ["a", "b"]).select("a", "b", "sim")
+    return near.where("a < b").join(x, "a").join(y, "b").where(ok).join(other, ["a", "b"]).select("a", "b", "sim")

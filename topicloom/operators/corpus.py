@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import cut
 
-#: Keys that one numbering block spans.
-BLOCK = 1 << 20
+#: Blocks that rows are numbered in, at most.
+BLOCKS = 1024
 
 
 def require_string(df: DataFrame, column: str) -> None:
@@ -16,24 +18,28 @@ def require_string(df: DataFrame, column: str) -> None:
         raise TypeError(f"column {column} holds {kind}, not string")
 
 
-def dense_index(df: DataFrame, key: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Numbers rows by an integer key, from 0 without gaps.
+def dense_index(df: DataFrame, key: str, name: str, blocks: int = BLOCKS) -> DataFrame:
+    """Numbers rows by a numeric key, from 0 without gaps.
 
-    Rows are numbered within blocks of the key, behind the counts of the blocks
-    before, so only a row for each block is ever in one task.
+    Approximate quantiles of the key part it into blocks of about equal size,
+    whatever its distribution; rows are numbered within their block, behind the
+    counts of the blocks before, so one task sees a block and no more.
     """
-    at = F.floor(F.col(key) / block)
-    counts = df.groupBy(at.alias("_block")).agg(F.count("*").alias("_n"))
-    counts = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    df = cut(df)
+    edges = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / blocks for i in range(1, blocks)], F.lit(10 * blocks))).first()[0] or []
+    at = Bucketizer(splits=[float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")], inputCol="_key", outputCol="_block", handleInvalid="keep")
+    blocked = at.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
+    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    counts = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # a row for each block
     own = F.row_number().over(Window.partitionBy("_block").orderBy(key))
-    return df.withColumn("_block", at).withColumn("_own", own).join(F.broadcast(counts), "_block").withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_block", "_own", "_before")
+    return blocked.withColumn("_own", own).join(F.broadcast(counts), "_block").withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_block", "_own", "_before")
 
 
 def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 0) -> DataFrame:
     """``row_id, clean_text``; null where the row is filtered: missing, empty once cleaned, or too short."""
     require_string(df, text)
-    c = T.clean(F.col(text))
-    return df.select(F.col(key).alias("row_id"), F.when((c != "") & (F.length(c) >= min_length), c).alias("clean_text"))
+    c = F.col("clean_text")
+    return df.select(F.col(key).alias("row_id"), T.clean(F.col(text)).alias("clean_text")).withColumn("clean_text", F.when((c != "") & (F.length(c) >= min_length), c))
 
 
 def unique_texts(rows: DataFrame) -> DataFrame:
@@ -61,11 +67,17 @@ def groups(labelled: DataFrame) -> DataFrame:
     return labelled.where("cluster_id >= 0").groupBy("cluster_id").agg(F.transform(items, lambda x: x["text"]).alias("items"))
 
 
+def missing_labels(df: DataFrame, label: str, k: int) -> DataFrame:
+    """``missing``: the labels in ``0..k-1`` that no row has."""
+    used = df.select(F.col(label).cast("long").alias("missing")).distinct()
+    return df.sparkSession.range(k).select(F.col("id").alias("missing")).join(used, "missing", "left_anti")
+
+
 def compact_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds ``compact``: labels from 0 up in ascending order, negative ones kept."""
     own = df.where(F.col(label) >= 0).select(label).distinct()
     number = own.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("compact"))  # a row for each cluster
-    return df.join(F.broadcast(number), label, "left").withColumn("compact", F.coalesce("compact", F.lit(-1)))
+    return df.join(number, label, "left").withColumn("compact", F.coalesce("compact", F.lit(-1)))
 
 
 def subsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

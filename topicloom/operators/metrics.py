@@ -58,14 +58,32 @@ def pair_distances(rows: DataFrame) -> DataFrame:
     return x.join(y, F.col("a") != F.col("b")).select("a", "la", "b", "lb", (1 - V.dot(F.col("ua"), F.col("ub"))).alias("d"))
 
 
-def silhouette(distances: DataFrame) -> DataFrame:
-    """One row, ``silhouette``: the mean over rows; rows alone in their cluster count as 0."""
-    mean = distances.groupBy("a", "la", "lb").agg(F.avg("d").alias("d"))
-    per = mean.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
+def silhouette(rows: DataFrame) -> DataFrame:
+    """One row, ``silhouette``: the mean cosine silhouette over all of ``row_id, cluster_id, v``; rows alone in their cluster count as 0.
+
+    The mean cosine distance to a cluster follows from the sum of its unit
+    vectors, so rows meet clusters and never each other.
+    """
+    u = rows.select("row_id", "cluster_id", V.unit(F.col("v")).alias("u"))
+    sums = u.groupBy("cluster_id").agg(F.count("*").cast("double").alias("n"), V.mean(F.col("u")).alias("m"))
+    x = u.crossJoin(sums.select(F.col("cluster_id").alias("c"), "n", "m")).select("row_id", "cluster_id", "c", "n", (F.col("n") * (1 - V.dot(F.col("u"), F.col("m")))).alias("d"))  # rows by clusters
+    own = F.max(F.when((F.col("c") == F.col("cluster_id")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
+    per = x.groupBy("row_id", "cluster_id").agg(own.alias("own"), F.min(F.when(F.col("c") != F.col("cluster_id"), F.col("d") / F.col("n"))).alias("other"))
     s = F.when(F.col("own").isNull() | F.col("other").isNull(), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / F.greatest(F.col("own"), F.col("other"), F.lit(1e-12)))
     return per.agg(F.avg(s).alias("silhouette"))
 
 
+def davies_bouldin(rows: DataFrame) -> DataFrame:
+    """One row, ``davies_bouldin``, over all of ``row_id, cluster_id, v``."""
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    cents = rows.groupBy("cluster_id").agg(V.mean(F.col("v")).alias("m"))
+    spread = rows.join(cents, "cluster_id").groupBy("cluster_id").agg(F.avg(far(F.col("v"), F.col("m"))).alias("s"))
+    c = cents.join(spread, "cluster_id")
+    a, b = c.select(F.col("cluster_id").alias("a"), F.col("m").alias("ma"), F.col("s").alias("sa")), c.select(F.col("cluster_id").alias("b"), F.col("m").alias("mb"), F.col("s").alias("sb"))
+    ratio = (F.col("sa") + F.col("sb")) / F.greatest(far(F.col("ma"), F.col("mb")), F.lit(1e-12))
+    return a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
 def nearest_distances(distances: DataFrame, k: int) -> DataFrame:
     """``a, kth``: distance to the ``k``-th nearest other row."""
     return distances.groupBy("a").agg(F.get(F.array_sort(F.collect_list("d")), F.lit(k - 1)).alias("kth"))

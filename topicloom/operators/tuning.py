@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import warnings
 from bisect import bisect_right
@@ -169,6 +170,42 @@ def refine_column(score: Column, noise: Column) -> Column:
     return (score < 0.38) | (noise > 0.35)
 
 
+def blob(largest: float, k: int, separation: float, stability: float) -> bool:
+    """Whether one cluster holds so much that a small solution should be refined whatever its score."""
+    limit = min(max(1.5 / max(1, k), 0.25), 0.55)
+    return largest > limit and (separation < 0.35 or stability < 0.45)
+
+
+MARGIN = 0.75
+
+
+def calibrate_floors(runs: list[dict], before: dict | None = None) -> dict[str, dict]:
+    """By tier, from runs with ``tier, score, ari, k, n, dataset, embedder``: mean score and agreement, and a floor under the worst; tiers without runs keep what they had."""
+    out = dict(before or {})
+    for name in ("tiny", "small", "medium", "large"):
+        own = [r for r in runs if r["tier"] == name]
+        if own:
+            worst, n = min(own, key=lambda r: r["score"]), len(own)
+            scores = [r["score"] for r in own]
+            out[name] = {
+                "score": round(sum(scores) / n, 6),
+                "ari": round(sum(r["ari"] for r in own) / n, 6),
+                "floor": round(min(scores) * MARGIN, 4),
+                "k": int(worst["k"]),
+                "fixture": f"{worst['dataset']}:{worst['n']}",
+                "runs": n,
+                "embedders": sorted({r["embedder"] for r in own}),
+                "least": round(min(scores), 6),
+                "most": round(max(scores), 6),
+            }
+    return out
+
+
+def say(config: Config, text: str) -> None:
+    """Progress: to the log, on a level that ``verbose`` decides; job groups show the rest in Spark's own pages."""
+    logging.getLogger("topicloom").log(logging.INFO if config.verbose else logging.DEBUG, text)
+
+
 @dataclass
 class Config:
     """Options of both kinds of clustering; checked when made."""
@@ -184,6 +221,7 @@ class Config:
     min_samples: int | None = None
     quality: str = "balanced"
     verbose: bool = False
+    allow_oversized: bool = False
 
     def __post_init__(self):
         whole = lambda v: isinstance(v, int) and not isinstance(v, bool)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,7 +13,10 @@ from ..operators import clusters as C
 from ..operators import corpus as P
 from ..operators import metrics as M
 from ..operators import topics as K
+from ..operators import profile as R
 from ..operators import tuning
+from ..operators.quantiles import percentiles
+from ..shared import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,9 +45,11 @@ def rows_of(spark: SparkSession, sf_dir: str, min_length: int = 0) -> DataFrame:
 
 
 def by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their language as a cluster number."""
-    number = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).when(F.col("lang") == "fr", 3).otherwise(-1)
-    return read(spark, sf_dir, "documents").select(number.alias("cluster_id"), T.clean(F.col("text")).alias("clean_text"))
+    """Documents with their language, numbered in order, as a cluster; -1 without one."""
+    docs = read(spark, sf_dir, "documents")
+    number = P.compact_labels(docs.where("lang is not null").select("lang").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("lang")))).select("lang", "compact")  # a row for each language
+    named = docs.select("lang", T.clean(F.col("text")).alias("clean_text")).join(F.broadcast(number), "lang", "left")
+    return named.select(F.coalesce("compact", F.lit(-1)).alias("cluster_id"), "clean_text")
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
@@ -119,9 +124,11 @@ def label_projection(spark, d):
     return P.project_labels(rows, P.unique_texts(rows).select("clean_text", (F.col("proc_id") % 5).cast("int").alias("cluster_id")))
 
 
-@query("select source, lang, count(*) as size, list(doc_id order by doc_id) as items from documents group by source, lang")
+@query("with ln as (select lang, (row_number() over (order by lang) - 1)::int as cluster_id from (select distinct lang from documents where lang is not null)) select cluster_id, list(source order by doc_id) as items from documents join ln using (lang) group by cluster_id")
 def group_items(spark, d):
-    return read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("doc_id")).alias("items"))
+    docs = read(spark, d, "documents")
+    number = docs.where("lang is not null").select("lang").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("lang")) - 1)  # a row for each language
+    return P.groups(docs.join(F.broadcast(number), "lang").select(F.col("doc_id").alias("row_id"), F.col("source").alias("text"), "cluster_id"))
 
 
 @query("select doc_id, ((row_number() over (order by doc_id) - 1) % 7)::int as cluster_id from documents")
@@ -166,27 +173,24 @@ def l2_normalize(spark, d):
     return vectors(spark, d).select("row_id", F.transform(V.unit(F.col("v")), lambda x: F.round(x, 6) + F.lit(0.0)).alias("unit"))
 
 
-@query("with " + E + "x as (select 1) select p.row_id as a, q.row_id as b, round(list_dot_product(p.u, q.u), 6) + 0.0 as sim, round(1 - list_dot_product(p.u, q.u), 6) + 0.0 as distance from u p, u q where p.row_id % 25 = 0 and q.row_id % 25 = 0")
+@query("with " + E + "x as (select 1) select p.row_id as a, q.row_id as b, round(list_dot_product(p.u, q.u), 6) + 0.0 as sim, round(1 - list_dot_product(p.u, q.u), 6) + 0.0 as distance from u p, u q where p.row_id % 100 = 0")
 def pairwise_cosine(spark, d):
-    # every 25th vector against every 25th: a matrix over all rows is no result that anyone reads
-    u = vectors(spark, d).where("row_id % 25 = 0").select("row_id", V.unit(F.col("v")).alias("u"))
-    pairs = u.select(F.col("row_id").alias("a"), F.col("u").alias("x")).crossJoin(u.select(F.col("row_id").alias("b"), F.col("u").alias("y")))
-    sim = V.dot(F.col("x"), F.col("y"))
-    return r6(pairs.select("a", "b", sim.alias("sim"), (1 - sim).alias("distance")))
+    """A query set, the vectors whose id is divisible by 100, against all vectors."""
+    rows = vectors(spark, d).select("row_id", "v")
+    pairs = C.block_similarities(rows.where("row_id % 100 = 0"), rows)
+    return r6(pairs.select("a", "b", "sim", (1 - F.col("sim")).alias("distance")))
 
 
 @query("select count(*) as rows, count(*) filter (where len(embedding) <> 64) as wrong_width, count(*) filter (where len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0) as not_finite from embeddings")
 def validate_embeddings(spark, d):
-    v = read(spark, d, "embeddings")
-    return v.agg(F.count("*").alias("rows"), F.count_if(F.size("embedding") != 64).alias("wrong_width"), F.count_if(~V.is_finite(F.col("embedding"))).alias("not_finite"))
+    from ..functions.embed import faults
+
+    return faults(read(spark, d, "embeddings"), F.col("embedding"), 64)
 
 
 @query("with f as (select embedding as f from embeddings order by vec_id limit 1), x as (select max(list_max(list_transform(list_zip(embedding, f), lambda p: abs(p[1]::double - p[2]::double)))) as spread from embeddings, f) select spread <= 1e-9 as identical from x")
 def all_identical(spark, d):
-    v = vectors(spark, d)
-    first = v.agg(F.min_by("v", "row_id").alias("f"))
-    gap = F.array_max(F.zip_with("v", "f", lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
-    return v.crossJoin(first).agg((F.max(gap) <= 1e-9).alias("identical"))  # one row
+    return C.all_identical(vectors(spark, d))
 
 
 @query("with " + CENT + "x as (select 1) select cluster_id, count(*) as size, any_value(list_transform(c, lambda x: round(x, 6) + 0.0)) as centroid from u join c using (cluster_id) group by cluster_id")
@@ -289,8 +293,7 @@ def noise_recovery(spark, d):
 @query("with " + _noisy(CENT) + TWO + "select row_id, (case when cluster_id = -1 then best else cluster_id end)::int as cluster_id from u join two using (row_id)")
 def centroid_fallback(spark, d):
     rows = noisy(spark, d)
-    found = C.nearest_two(rows, C.centroids(rows))
-    return found.select("row_id", F.when(F.col("cluster_id") < 0, F.col("best")).otherwise(F.col("cluster_id")).cast("int").alias("cluster_id"))
+    return C.assign_noise(rows, C.centroids(rows)).select("row_id", "cluster_id")
 
 
 # --- graph of clusters ----------------------------------------------------
@@ -310,7 +313,7 @@ def near_duplicate_merge(spark, d):
 @query("with recursive " + CENT + PAIRS + CLOSURE.format(limit="0.2") + "select cluster_id, root from root")
 def union_find_closure(spark, d):
     cents = C.centroids(vectors(spark, d))
-    roots = C.merge_roots(C.centroid_pairs(cents).where("sim >= 0.2"), [r[0] for r in cents.select("cluster_id").collect()])
+    roots = C.merge_roots(C.close_pairs(cents, 0.2), [r[0] for r in cents.select("cluster_id").collect()])
     return spark.createDataFrame(sorted(roots.items()), "cluster_id int, root int")
 
 
@@ -325,7 +328,7 @@ def granularity_merge(spark, d):
 )
 def cross_shard_stitch(spark, d):
     rows, cents, sims = _sims(spark, d)
-    radius = sims.groupBy("cluster_id").agg(F.percentile(1 - F.col("sim"), F.lit(0.9)).alias("radius"))
+    radius = percentiles(sims, ["cluster_id"], "sim", [0.1]).select("cluster_id", (1 - F.col("p")[0]).alias("radius"))
     return r6(C.mutual_pairs(cents.join(radius, "cluster_id").withColumn("shard", F.col("cluster_id") % 3), 0.05))
 
 
@@ -357,17 +360,24 @@ def coverage(spark, d):
     return M.coverage(read(spark, d, "embeddings").withColumn("p", F.col("label") - 3), "p")
 
 
-DIST = "q as (select * from u order by md5(row_id::varchar), row_id limit 200), dd as (select x.row_id as a, x.cluster_id as la, y.row_id as b, y.cluster_id as lb, 1 - list_dot_product(x.u, y.u) as d from q x, q y where x.row_id <> y.row_id), "
+ALL = "q as (select * from u), dd as (select x.row_id as a, x.cluster_id as la, y.row_id as b, y.cluster_id as lb, 1 - list_dot_product(x.u, y.u) as d from q x, q y where x.row_id <> y.row_id), "
+# the reference profiles as many rows as this says
+DIST = ALL.replace("(select * from u)", "(select * from u order by md5(row_id::varchar), row_id limit (select least(count(*), greatest(1024, least(4096, 16 * sqrt(count(*)))))::bigint from u))")
 
 
 def _sampled(spark, d):
-    # profiles are of a sample by contract
-    return M.pair_distances(vectors(spark, d).orderBy(F.md5(F.col("row_id").cast("string")), "row_id").limit(200))
+    rows = vectors(spark, d)
+    return M.pair_distances(rows.orderBy(F.md5(F.col("row_id").cast("string")), "row_id").limit(R.sample_size(rows.count())))
 
 
-@query("with " + E + DIST + "m as (select a, la, lb, avg(d) as d from dd group by all), p as (select a, max(case when la = lb then d end) as own, min(case when la <> lb then d end) as other from m group by a) select round(avg(case when own is null or other is null then 0 else (other - own) / greatest(own, other, 1e-12) end), 6) as silhouette from p")
+@query("with " + E + ALL + "m as (select a, la, lb, avg(d) as d from dd group by all), p as (select a, max(case when la = lb then d end) as own, min(case when la <> lb then d end) as other from m group by a) select round(avg(case when own is null or other is null then 0 else (other - own) / greatest(own, other, 1e-12) end), 6) as silhouette from p")
 def silhouette(spark, d):
-    return r6(M.silhouette(_sampled(spark, d)))
+    return r6(M.silhouette(vectors(spark, d)))
+
+
+@query("with " + E + "c as (select cluster_id, i, avg(x) as m from (select cluster_id, unnest(v) as x, generate_subscripts(v, 1) as i from e) group by cluster_id, i), m as (select cluster_id, list(m order by i) as m from c group by cluster_id), s as (select cluster_id, avg(list_distance(v, m)) as s from e join m using (cluster_id) group by cluster_id), r as (select x.cluster_id, max((a.s + b.s) / greatest(list_distance(x.m, y.m), 1e-12)) as r from m x join m y on x.cluster_id <> y.cluster_id join s a on a.cluster_id = x.cluster_id join s b on b.cluster_id = y.cluster_id group by x.cluster_id) select round(avg(r), 6) as davies_bouldin from r")
+def davies_bouldin(spark, d):
+    return r6(M.davies_bouldin(vectors(spark, d)))
 
 
 @query("with " + E + DIST + "m as (select a, list_sort(list(d))[20] as kth from dd group by a) select round(avg(kth), 6) as density_mean, round(stddev_pop(kth) / avg(kth), 6) as density_cv from m")
@@ -426,41 +436,44 @@ def refine_gate(spark, d):
 
 
 # --- topics ---------------------------------------------------------------
-LANGS = f"with docs as (select case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 when 'fr' then 3 else -1 end as cluster_id, {CLEAN} as t from documents), w as (select cluster_id, list_filter(string_split(t, ' '), lambda x: length(x) >= 2) as w from docs where cluster_id >= 0), tm as (select cluster_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w), n as (select cluster_id, term, count(*) as n from tm group by all), "
+STOPS = "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]"
+LANGS = f"with ln as (select lang, (row_number() over (order by lang) - 1)::int as cluster_id from (select distinct lang from documents where lang is not null)), docs as (select cluster_id, strip_accents({CLEAN}) as t from documents join ln using (lang)), st as (select {STOPS} as st), w as (select cluster_id, list_filter(string_split(t, ' '), lambda x: length(x) >= 2 and not list_contains(st, x)) as w from docs, st), tm as (select cluster_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w), n as (select cluster_id, term, count(*) as n from tm group by all), "
 SCORE = "sz as (select cluster_id, sum(n)::double as size from n group by cluster_id), tot as (select term, sum(n)::double as overall from n group by term), sc as (select cluster_id, term, n, (n::double / size) * 2.5 / (n::double / size + 1.5) * ln(1.0 + (select greatest(avg(size), 1.0) from sz) / (overall + 1e-10)) as score from n join sz using (cluster_id) join tot using (term)), "
 
 
-@query(LANGS + "x as (select 1) select cluster_id, term, n from n where n >= 20")
+def _counts(spark, d):
+    return cut(K.term_counts(by_lang(spark, d)))
+
+
+@query(LANGS + "x as (select 1) select cluster_id, term, n from n")
 def term_counts(spark, d):
-    return K.term_counts(by_lang(spark, d)).where("n >= 20")
+    return K.term_counts(by_lang(spark, d))
 
 
-@query(LANGS + SCORE + "x as (select 1) select cluster_id, term, n, round(score, 8) as score from sc where n >= 20")
+@query(LANGS + SCORE + "x as (select 1) select cluster_id, term, n, round(score, 8) as score from sc")
 def ctfidf(spark, d):
-    return K.class_tf_idf(K.term_counts(by_lang(spark, d))).where("n >= 20").withColumn("score", F.round("score", 8))
+    return K.class_tf_idf(_counts(spark, d)).withColumn("score", F.round("score", 8))
 
 
 @query(LANGS + SCORE + "r as (select *, row_number() over (partition by cluster_id order by round(score, 10) desc, term) as rank from sc where score > 0) select cluster_id, rank, term, round(score, 8) as score from r where rank <= 10")
 def top_keywords(spark, d):
-    return K.top_keywords(K.class_tf_idf(K.term_counts(by_lang(spark, d)))).withColumn("score", F.round("score", 8))
+    return K.top_keywords(K.class_tf_idf(_counts(spark, d))).withColumn("score", F.round("score", 8))
 
 
-@query(LANGS + "sz as (select cluster_id, sum(n)::double as size from n group by cluster_id), sh as (select term, count(*)::double as held, sum(n / size) as s1, sum((n / size) * (n / size)) as s2 from n join sz using (cluster_id) group by term) select term from sh where held / 4 >= 0.8 and sqrt(greatest(s2 / 4 - (s1 / 4) * (s1 / 4), 0)) / (s1 / 4) < 0.5")
+@query(LANGS + SCORE + "sh as (select term, count(*)::double as held, stddev_pop(score) as sd, avg(score) as mean from sc where score > 0 group by term) select term from sh where held >= 2 and held / (select count(distinct cluster_id) from sc) >= 0.8 and sd / (mean + 1e-10) < 0.5")
 def corpus_stopwords(spark, d):
-    return K.corpus_stop_words(K.term_counts(by_lang(spark, d)))
-
-
+    return K.corpus_stop_words(K.class_tf_idf(_counts(spark, d)))
 
 
 @query(
     LANGS
     + SCORE
-    + "v as (select list_value({v}) as v, list_value({a}) as a) select cluster_id, term, round(case when list_has_any(string_split(term, ' '), v) or len(list_filter(string_split(term, ' '), lambda w: not list_contains(a, w))) = 0 or len(string_split(term, ' ')) > 2 then 0 else score * (case when len(string_split(term, ' ')) = 2 then 1.55 else 1 end) * (case when regexp_matches(string_split(term, ' ')[-1], '({e})$') then 1.35 else 1 end) * (case when list_has_any(string_split(term, ' '), a) then 0.3 else 1 end) end, 8) as fit from sc, v where n >= 20".format(
+    + "v as (select list_value({v}) as v, list_value({a}) as a) select cluster_id, term, round(case when list_has_any(string_split(term, ' '), v) or len(list_filter(string_split(term, ' '), lambda w: not list_contains(a, w))) = 0 or len(string_split(term, ' ')) > 2 then 0 else score * (case when len(string_split(term, ' ')) = 2 then 1.55 else 1 end) * (case when regexp_matches(string_split(term, ' ')[-1], '...({e})$') then 1.35 else 1 end) * (case when list_has_any(string_split(term, ' '), a) then 0.3 else 1 end) end, 8) as fit from sc, v".format(
         v=", ".join(f"'{w}'" for w in T.VERBS), a=", ".join(f"'{w}'" for w in T.ADJECTIVES), e="|".join(T.NOUN_ENDINGS)
     )
 )
 def label_suitability(spark, d):
-    scored = K.class_tf_idf(K.term_counts(by_lang(spark, d))).where("n >= 20")
+    scored = K.class_tf_idf(_counts(spark, d))
     return scored.select("cluster_id", "term", F.round(T.label_score(F.col("term"), F.col("score")), 8).alias("fit"))
 
 
@@ -477,7 +490,7 @@ def trigram_jaccard(spark, d):
 
 @query()
 def topic_label(spark, d):
-    return K.topic_labels(K.top_keywords(K.class_tf_idf(K.term_counts(by_lang(spark, d), stops=K.stop_words())), 20))
+    return K.topic_labels(K.top_keywords(K.class_tf_idf(_counts(spark, d)), 20))
 
 
 # --- flagship -------------------------------------------------------------
@@ -494,13 +507,6 @@ def fit_predict_summary(spark, d):
 
 
 # --- kernels and whole clusterings ---------------------------------------
-def _shared(spark: SparkSession) -> str:
-    """A folder that all executors see; a local one only where Spark itself is local and names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-    return named or ("/tmp/topicloom" if alone else spark.conf.get("spark.sql.warehouse.dir"))
-
-
 def _k_query(name: str, k: int, n: int | None = None):
     def run(spark, d):
         from . import fixed_k
@@ -583,7 +589,7 @@ def model_round_trip(spark, d):
     from .model import FixedClusterer, FittedModel
 
     docs = read(spark, d, "documents")
-    path = f"{_shared(spark)}/models/{uuid4().hex}"
+    path = f"{shared_folder(spark)}/models/{uuid4().hex}"
     FixedClusterer(6).fit(docs).save(path)
     return FittedModel.load(spark, path, "fixed").predict(docs)
 
@@ -607,7 +613,7 @@ def stream_predict(spark, d):
 
     rows = vectors(spark, d)
     model = fitted(rows, None, "density", tuning.Config(extract_keywords=False))
-    top = f"{_shared(spark)}/streams/{uuid4().hex}"
+    top = f"{shared_folder(spark)}/streams/{uuid4().hex}"
     source = read(spark, d, "embeddings")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
     write_available(assign_stream(stream.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v")), model), f"{top}/out", f"{top}/state").awaitTermination()
@@ -621,35 +627,46 @@ def embed_texts(spark, d):
     return embed(read(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("t")).where("t <> ''"), "t").select("doc_id", F.round(F.element_at("v", 1).cast("double"), 5).alias("first"), F.size("v").alias("width"))
 
 
-@query("select l_returnflag as t, l_linestatus as p, count(*) as n from lineitem group by all")
+@query("select toxic as t, quality as p, count(*)::double as n from labels where quality >= 0 group by all")
 def contingency(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("t"), F.col("l_linestatus").alias("p")).agg(F.count("*").alias("n"))
+    return M.contingency(read(spark, d, "labels"), "toxic", "quality")
 
 
-@query("select lang, avg(n) as mean_floor, min(n) * 0.75 as floor from (select lang, source, count(*)::double as n from documents group by lang, source) group by lang")
+@query()
 def floor_calibration(spark, d):
-    per = read(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").cast("double").alias("n"))
-    return per.groupBy("lang").agg(F.avg("n").alias("mean_floor"), (F.min("n") * 0.75).alias("floor"))
+    """Quality floors from the reports of some runs."""
+    from . import density
 
+    rows = vectors(spark, d).select("row_id", "v")
+    runs = []
+    for n in (40, 60, 80):
+        own = P.subsample(rows, "row_id", n)
+        labelled, rep = density.cluster_vectors(own)
+        runs.append({"tier": rep.tier, "score": rep.metrics["score"], "ari": 0.0, "k": rep.k, "n": rep.n, "dataset": "embeddings", "embedder": "given"})
+    floors = tuning.calibrate_floors(runs)
+    return spark.createDataFrame([(t, f["score"], f["floor"], f["k"], f["runs"]) for t, f in sorted(floors.items())], "tier string, score double, floor double, k int, runs int")
 
-@query("with c as (select clean_text, md5(clean_text) as h from (select distinct trim(lower(text)) as clean_text from documents)) select doc_id, h from documents left join c on trim(lower(text)) = clean_text")
+
+@query("with c as (select distinct trim(lower(text)) as t from documents) select doc_id, case when t is not null then [length(t)::double, ascii(t)::double] end as v from documents left join c on trim(lower(text)) = t")
 def lookup_embedding(spark, d):
+    """Vectors from a cache of distinct texts; here their length and first sign."""
     from ..functions.embed import lookup
 
     t = read(spark, d, "documents").select("doc_id", F.trim(F.lower("text")).alias("t"))
-    cache = t.select(F.col("t").alias("clean_text")).distinct().withColumn("embedding", F.md5("clean_text"))
-    return lookup(t, "t", cache, "h").select("doc_id", "h")
+    cache = t.where("t is not null").select(F.col("t").alias("clean_text")).distinct().withColumn("embedding", F.array(F.length("clean_text").cast("double"), F.ascii("clean_text").cast("double")))
+    return lookup(t, "t", cache, "v").select("doc_id", "v")
 
 
-@query("with h as (select size, row_number() over (order by size) as i from (select distinct n_chars as size from documents)), j as (select i, size, size - lag(size) over (order by i) as jump from h), z as (select i, jump, (jump - avg(jump) over ()) / stddev_pop(jump) over () as z from j where jump is not null) select i, jump, round(z, 6) as z from z where z >= 1")
+@query()
 def height_jumps(spark, d):
-    """Large jumps in a sorted list of heights; heights are as few as a tiny tier's merges, so one window serves."""
-    from pyspark.sql import Window
+    """Numbers of clusters at the large jumps of Ward's merge heights, of a tiny tier's rows."""
+    from ..functions import kernels
+    from . import search
+    from .density import _matrix
 
-    h = read(spark, d, "documents").select(F.col("n_chars").alias("size")).distinct().withColumn("i", F.row_number().over(Window.orderBy("size")).cast("long"))
-    j = h.withColumn("jump", F.col("size") - F.lag("size").over(Window.orderBy("i"))).where("jump is not null")
-    stats = j.agg(F.avg("jump").alias("m"), F.stddev_pop("jump").alias("s"))
-    return r6(j.crossJoin(stats).select("i", "jump", ((F.col("jump") - F.col("m")) / F.col("s")).alias("z")).where("z >= 1"))  # one row
+    u = kernels.unit_rows(_matrix(P.subsample(vectors(spark, d).select("row_id", "v"), "row_id", 120))[1])
+    heights = kernels.linkage((2 * (1 - u @ u.T).clip(0, 2)) ** 0.5, "ward")[:, 2]
+    return spark.createDataFrame([(i, k) for i, k in enumerate(search.jumps(heights, len(u) // 2), 1)], "rank int, k int")
 
 
 # --- further operators ----------------------------------------------------
@@ -681,8 +698,7 @@ def centroid_matrix(spark, d):
 
 @query("select r::bigint as missing from range(12) t(r) where r not in (select distinct label from embeddings where label % 4 <> 1)")
 def missing_labels(spark, d):
-    used = read(spark, d, "embeddings").where("label % 4 <> 1").select(F.col("label").cast("long").alias("missing"))
-    return spark.range(12).select(F.col("id").alias("missing")).join(used, "missing", "left_anti")
+    return P.missing_labels(read(spark, d, "embeddings").where("label % 4 <> 1"), "label", 12)
 
 
 @query("select n, w, least(w, round_even(64 + least(1.0, greatest(0.0, (sqrt(w) * pow(log10(n), 0.7) - sqrt(384) * pow(log10(5000), 0.7)) / (sqrt(3072) * pow(log10(200000), 0.7) - sqrt(384) * pow(log10(5000), 0.7)))) * 448, 0))::int as width from (select unnest([5000, 20000, 100000, 200000, 1000000])::int as n), (select unnest([384, 768, 1536, 3072])::int as w)")
@@ -697,16 +713,20 @@ def restart_presets(spark, d):
 
 @query("select n, w, least(1.0, n::double * w * 4 / 8e9) as pressure from (select unnest([1000, 1000000]) as n), (select unnest([64, 1536]) as w)")
 def memory_pressure(spark, d):
-    return spark.createDataFrame([(n, w) for n in (1000, 1000000) for w in (64, 1536)], "n int, w int").withColumn("pressure", F.least(F.lit(1.0), F.col("n").cast("double") * F.col("w") * 4 / F.lit(8e9)))
+    return spark.createDataFrame([(n, w, R.memory_pressure(n, w)) for n in (1000, 1000000) for w in (64, 1536)], "n int, w int, pressure double")
 
 
-@query("with t as (select cluster_id, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, (doc_id % 11)::int as cluster_id from documents) group by cluster_id) select cluster_id, size, first_id, last_id, (row_number() over (order by size desc, cluster_id)) as rank from t")
+@query()
 def candidate_ranking(spark, d):
-    """Groups by size, the larger first; a row for each group in one window."""
-    from pyspark.sql import Window
-
-    t = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 11).cast("int").alias("cluster_id")).groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster_id")).cast("long"))
+    """The diverse best candidates of a sweep over a bounded sample, in order."""
+    from ..functions import kernels
+    from . import search
+    from .density import _matrix
+
+    u = kernels.unit_rows(_matrix(P.subsample(vectors(spark, d).select("row_id", "v"), "row_id", 400))[1])
+    found = [c for m in (2, 5) for c in search.sweep(u, u, [5, 10, 20], m, 0.0)]
+    rows = [(i, c["mcs"], c["min_samples"], c["method"], int(c["k"]), float(c["score"])) for i, c in enumerate(search.diverse(found, len(u)), 1)]
+    return r6(spark.createDataFrame(rows, "rank int, mcs int, min_samples int, method string, k int, score double"))
 
 
 @query()

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..operators import clusters as C
 from ..operators import corpus as P
 from ..operators import tuning
 from ..operators.profile import Profile, dataset_profile
+from ..operators.quantiles import percentiles
+from ..shared import cut
 from . import search
 
 NO_UMAP = "umap-unavailable, used PCA-only fallback"
@@ -161,13 +164,19 @@ def _bounded(rows: DataFrame, config: tuning.Config, tier: str, band: str, profi
         dims = tuning.width_candidates(tuning.medium_width(profile), x.shape[1])
     found = _sweep_in_tasks(rows, x, [(d, m) for d in dims for m in neighbours], sizes, boost)
     best = found[0] if found else None
-    if best and (best["score"] < 0.38 or best["noise"] > 0.35):
+    if best and (best["score"] < 0.38 or best["noise"] > 0.35 or tier == "small" and tuning.blob(best["largest"], best["k"], best["separation"], best["stability"])):
         more = tuning.size_candidates([s * best["mcs"] for s in ((0.75, 1.35) if tier == "small" else (0.7, 1.3))], n // 3)
-        found += _sweep_in_tasks(rows, x, [(best["dim"], best["min_samples"])], more, boost)
+        near = [best["min_samples"]] if tier == "small" else sorted({max(1, best["min_samples"] + step) for step in (-1, 0, 1)})
+        found += _sweep_in_tasks(rows, x, [(best["dim"], m) for m in near], more, boost)
     limit = g["mid" if tier == "small" and band == "low" else band].merge
     done = []
     for c in search.diverse(found, n):
-        labels = _polish(x, np.array(c["labels"], np.int32), limit)
+        own = np.array(c["labels"], np.int32)
+        if tier == "small":
+            own = search.split_oversized(x, own, boost, least=c["mcs"], cohesive=0.88, gain=0.0)
+        else:
+            own = search.split_oversized(x, own, boost, sizes=tuning.SIZE_RATIOS["small"][band])
+        labels = _polish(x, own, limit)
         done.append((search.score(x, labels, boost), labels, c))
     if not done:
         return _labelled(rows, ids, np.full(n, -1))
@@ -201,42 +210,94 @@ def search_profile(x: np.ndarray, seed: int) -> float:
     return float(far.std() / max(far.mean(), 1e-12))
 
 
+def split_shards(sharded: DataFrame, target: int, seed: int, rounds: int = 3, branches: int = 32) -> DataFrame:
+    """``row_id, v, shard, piece`` from ``row_id, v, shard`` with unit vectors: shards far over the target are split by k-means, round by round.
+
+    A shard's centres are fitted in a task of its own on a bounded sample of
+    it; ``piece`` parts what stays too large after that, as equal vectors do.
+    """
+    spark, limit = sharded.sparkSession, 1.35 * target
+    sharded = cut(sharded.select("row_id", "v", F.col("shard").cast("long").alias("shard")))
+    for r in range(rounds):
+        sizes = sharded.groupBy("shard").agg(F.count("*").alias("_n"))
+        big = cut(sizes.where(F.col("_n") > limit))
+        if big.isEmpty():
+            break
+        draw = F.pmod(F.xxhash64(F.col("row_id").cast("string"), F.lit(f"split-{r}")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = sharded.join(big, "shard").where(draw <= F.lit(4096.0) / F.col("_n"))
+
+        def fit(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("row_id")
+            x = np.stack(frame["v"].to_numpy())
+            k = int(min(branches, max(2, -(-int(frame["_n"].iloc[0]) // target)), len(x)))
+            at = N.kmeans(x, k, seed, 20)[0]
+            c = N.unit_rows(np.array([x[at == i].mean(axis=0) for i in np.unique(at)]))
+            return pd.DataFrame({"shard": frame["shard"].iloc[0], "i": np.arange(len(c), dtype=np.int32), "c": list(c)})
+
+        centres = cut(sample.groupBy("shard").applyInPandas(fit, "shard long, i int, c array<double>"))
+        packed = centres.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
+        if (centres.agg(F.sum(F.size("c"))).first()[0] or 0) * 8 <= C.BROADCAST_BYTES:
+            packed = F.broadcast(packed)
+        like = F.transform("cs", lambda c: V.dot(F.col("v"), c["c"]))
+        best = F.coalesce(F.array_position(like, F.array_max(like)) - 1, F.lit(0))
+        sharded = cut(sharded.join(packed, "shard", "left").select("row_id", "v", (F.col("shard") * branches + best).alias("shard")))
+    sizes = sharded.groupBy("shard").agg(F.count("*").alias("_n"))
+    pieces = F.ceil(F.col("_n") / limit).cast("int")
+    return sharded.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64(F.col("row_id").cast("string")), pieces).cast("int")).drop("_n")
+
+
 def cluster_large(rows: DataFrame, config: tuning.Config, band: str, profile: Profile, report: Report) -> DataFrame:
-    """Coarse k-means shards, a search in each, and stitching of clusters across shards."""
+    """Coarse k-means shards on reduced vectors, a search in each, and stitching of clusters across shards."""
     target, preset = tuning.shard_size(profile), config.cluster_granularity
-    vec = rows.withColumn("v", V.unit(F.col("v"))).withColumn("_f", array_to_vector("v")).persist()
-    model = KMeans(k=tuning.coarse_partitions(profile), seed=config.random_state, distanceMeasure="cosine", featuresCol="_f", predictionCol="shard", maxIter=10).fit(vec)
-    sharded = model.transform(vec).select("row_id", "v", "shard")
-    # a shard far over the target is dealt out by a second k-means inside bounded pieces
-    sizes = sharded.groupBy("shard").agg(F.count("*").alias("_n"))
-    pieces = F.ceil(F.col("_n") / (1.35 * target)).cast("int")
-    sharded = sharded.join(F.broadcast(sizes), "shard").withColumn("piece", F.pmod(F.xxhash64(F.col("row_id").cast("string")), pieces).cast("int"))
+    vec = cut(rows.select("row_id", V.unit(F.col("v")).alias("v"))).withColumn("_f", array_to_vector("v"))
+    column, width = "_f", tuning.large_width(profile)
+    if width < profile.width:
+        vec, column = PCA(k=width, inputCol="_f", outputCol="_r").fit(vec).transform(vec), "_r"
+    model = KMeans(k=tuning.coarse_partitions(profile), seed=config.random_state, distanceMeasure="cosine", featuresCol=column, predictionCol="shard", maxIter=10).fit(vec)
+    sharded = split_shards(model.transform(vec).select("row_id", "v", "shard"), target, config.random_state)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row_id")
         labels = search_shard(N.unit_rows(np.stack(frame["v"].to_numpy())), preset, band)
         return pd.DataFrame({"row_id": frame["row_id"], "v": frame["v"], "shard": frame["shard"], "piece": frame["piece"], "local": labels})
 
-    found = sharded.select("row_id", "v", "shard", "piece").groupBy("shard", "piece").applyInPandas(run, "row_id long, v array<double>, shard int, piece int, local int").persist()
+    found = cut(sharded.select("row_id", "v", "shard", "piece").groupBy("shard", "piece").applyInPandas(run, "row_id long, v array<double>, shard long, piece int, local int"))
     own = found.where("local >= 0").select("shard", "piece", "local").distinct()
     number = own.withColumn("cluster_id", (F.row_number().over(Window.orderBy("shard", "piece", "local")) - 1).cast("int"))  # a row for each cluster
-    labelled = found.join(F.broadcast(number), ["shard", "piece", "local"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
-    cents = C.centroids(labelled)
-    if cents.count() <= 5000:
-        sims = C.similarities(labelled, cents)
-        radius = sims.groupBy("cluster_id").agg(F.percentile(1 - F.col("sim"), F.lit(0.9)).alias("radius"))
-        shards = labelled.where("cluster_id >= 0").select("cluster_id", F.struct("shard", "piece").alias("shard")).distinct()
-        pairs = C.mutual_pairs(cents.join(radius, "cluster_id").join(shards, "cluster_id"), tuning.GRANULARITY[preset][band].merge)
-        labelled = C.relabel(labelled.select("row_id", "v", "cluster_id"), C.merge_roots(pairs, [r[0] for r in cents.select("cluster_id").collect()]))
-        again = C.recover_noise(labelled, C.centroids(labelled), C.similarities(labelled, C.centroids(labelled))).withColumnRenamed("cluster_id", "_again")
-        labelled = labelled.join(again, "row_id", "left").withColumn("cluster_id", F.coalesce("_again", "cluster_id")).drop("_again")
-        labelled, _ = C.merge_by_similarity(labelled, tuning.GRANULARITY[preset][band].merge)
-    else:
-        report.warn("large-stitch-skipped")
+    labelled = cut(found.join(number, ["shard", "piece", "local"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))))
+    if labelled.where("cluster_id >= 0").isEmpty():
+        # no shard gave clusters
+        report.warn("large-global-fallback", low=True)
+        whole = KMeans(k=max(2, profile.n // 1500), seed=config.random_state, distanceMeasure="cosine", featuresCol=column, predictionCol="cluster_id", maxIter=20).fit(vec)
+        labelled = whole.transform(vec).select("row_id", "v", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("piece"), "cluster_id")
+    merge_at = tuning.GRANULARITY[preset][band].merge
+    cents = cut(C.centroids(labelled))
+    radius = percentiles(C.similarities(labelled, cents), ["cluster_id"], "sim", [0.1]).select("cluster_id", (1 - F.col("p")[0]).alias("radius"))
+    shards = labelled.where("cluster_id >= 0").select("cluster_id", F.struct("shard", "piece").alias("shard")).distinct()
+    pairs = C.mutual_pairs(cents.join(radius, "cluster_id").join(shards, "cluster_id"), merge_at)
+    labelled = cut(C.relabel(labelled.select("row_id", "v", "cluster_id"), C.merge_roots(pairs, [r[0] for r in cents.select("cluster_id").collect()])))
+    cents = cut(C.centroids(labelled))
+    again = C.recover_noise(labelled, cents, C.similarities(labelled, cents)).withColumnRenamed("cluster_id", "_again")
+    labelled = cut(labelled.join(again, "row_id", "left").withColumn("cluster_id", F.coalesce("_again", "cluster_id")).drop("_again"))
+    labelled, _ = C.merge_by_similarity(labelled, merge_at)
     report.algorithm, report.params = "sharded hdbscan", {"shards": model.summary.k, "target": target}
     return P.compact_labels(labelled.select("row_id", "v", "cluster_id"), "cluster_id").select("row_id", "v", F.col("compact").alias("cluster_id"))
 
 
+def sample_and_assign(rows: DataFrame, config: tuning.Config, n: int, report: Report) -> DataFrame:
+    """Clusters a sample of ``max_samples`` rows; the others go to the nearest centroid."""
+    report.warn("oversized-subsampled")
+    sample = cut(P.subsample(rows, "row_id", config.max_samples, config.random_state))
+    done, own = cluster_vectors(sample, {**config.__dict__, "max_samples": None}, config.max_samples)
+    done = cut(done.select("row_id", "v", "cluster_id"))
+    report.algorithm, report.params, report.metrics, report.profile = own.algorithm, own.params, own.metrics, own.profile
+    rest = rows.select("row_id", "v").join(done.select("row_id"), "row_id", "left_anti")
+    if done.where("cluster_id >= 0").isEmpty():
+        return done.unionByName(rest.withColumn("cluster_id", F.lit(-1)))
+    given = C.nearest_two(rest, C.centroids(done)).select("row_id", "v", F.col("best").cast("int").alias("cluster_id"))
+    return done.unionByName(given)
+
+
 def cluster_vectors(rows: DataFrame, options=None, n: int | None = None) -> tuple[DataFrame, Report]:
     """``row_id, v, cluster_id`` and a report, from ``row_id, v``; -1 is noise."""
     config = tuning.Config.of(options)
@@ -246,8 +307,14 @@ def cluster_vectors(rows: DataFrame, options=None, n: int | None = None) -> tupl
         return rows.withColumn("cluster_id", F.lit(-1)), report
     width = rows.select(F.size("v")).first()[0]
     report.tier, report.band = tuning.tier(n), tuning.dim_band(width)
+    if config.max_samples is not None and n > config.max_samples:
+        out = sample_and_assign(rows, config, n, report)
+        quality_floor(report, width)
+        report.k = report.metrics.get("k", 0)
+        return out, report
     profile = dataset_profile(rows, n, config.random_state)
     report.profile = dict(profile.__dict__)
+    tuning.say(config, f"{n} rows of width {width}: tier {report.tier}, band {report.band}")
     if report.tier == "tiny":
         ids, raw = _matrix(rows)
         x = N.unit_rows(raw) if config.normalize_embeddings else raw
@@ -261,6 +328,7 @@ def cluster_vectors(rows: DataFrame, options=None, n: int | None = None) -> tupl
         out = _bounded(rows, config, report.tier, report.band, profile, report)
     quality_floor(report, width)
     report.k = report.metrics.get("k", 0)
+    tuning.say(config, f"{report.algorithm}: {report.k or '?'} clusters, confidence {report.confidence}")
     return out, report
 
 

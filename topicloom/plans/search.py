@@ -78,6 +78,47 @@ def sweep(x: np.ndarray, full: np.ndarray, sizes: list[int], neighbours: int, bo
     return out
 
 
+def split_oversized(x: np.ndarray, labels: np.ndarray, boost: float = 0.0, *, least: int | None = None, sizes: list[float] | None = None, share: float = 0.18, cohesive: float = 0.90, gain: float = 1e-3, most: int = 2) -> np.ndarray:
+    """Splits large clusters that don't hold together, at most ``most``, where that makes the score better.
+
+    With ``least``, the smallest cluster size of the solution, clusters of twice
+    as many rows count as large and one split of each is tried, as the small
+    tier does; else those with a ``share`` of the rows and twice the median.
+    """
+    labels = labels.copy()
+    names, counts = np.unique(labels[labels >= 0], return_counts=True)
+    if not len(names):
+        return labels
+    best, fresh, done = score(x, labels, boost)["score"], int(names.max()) + 1, 0
+    large = max(12, 2 * least) if least else max(12, int(share * len(x)), int(2 * max(1.0, float(np.median(counts)))))
+    for c in names[np.argsort(-counts, kind="stable")]:
+        own = np.flatnonzero(labels == c)
+        n = len(own)
+        m = N.unit_rows(x[own].mean(axis=0, keepdims=True))[0]
+        if done >= most or n < large or float(np.clip(x[own] @ m, -1, 1).mean()) >= cohesive:
+            continue
+        if least:
+            tries = [(max(3, x.shape[1] - 1), max(3, min(least, n // 6)))]
+        else:
+            tries = [(dim, size) for dim in (6, 10) for size in (sorted({max(3, int(r * n)) for r in sizes}) if sizes else sorted({max(3, n // 10), max(5, n // 6)}))]
+        for dim, size in tries:
+            y = N.unit_rows(N.pca(x[own], dim)) if dim < x.shape[1] else x[own]
+            sub = N.hdbscan(N.single_linkage(N.spanning_tree(y, N.core_distances(y, min(2, size - 1) if least else max(1, size // 2)))), size, "leaf")
+            parts, held = np.unique(sub[sub >= 0], return_counts=True)
+            if len(parts) < 2 or held.max() >= int(0.9 * n):
+                continue
+            new = labels.copy()
+            others = [p for p in parts if p != parts[held.argmax()]]
+            for i, p in enumerate(others):
+                new[own[sub == p]] = fresh + i
+            s = score(x, new, boost)["score"]
+            if s > best + gain:
+                labels, best, done = new, s, done + 1
+                fresh += len(others)
+                break
+    return labels
+
+
 def jumps(heights: np.ndarray, most: int, limit: int = 5) -> list[int]:
     """Numbers of clusters at the large jumps of merge heights, the largest jump first."""
     if len(heights) < 2 or most < 2:
