@@ -3,38 +3,19 @@ row-wise Arrow mapping."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of its own where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            shared = tempfile.mkdtemp(prefix="topicloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
+__all__ = ["cut", "fold", "map_texts", "shared_folder", "table"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's shared checkpoint folder.
-
-    Later stages read those files instead of recomputing a long lineage, so a
-    lost executor costs only its running tasks.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], pa.RecordBatch]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:

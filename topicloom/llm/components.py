@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Each
-round is a grouped minimum (combined on the map side) joined back to the
-edges, so a hub's edges are never gathered in one task.
+round is a grouped minimum, combined on the map side, joined back to the edges.
+A hub's edges pass one join key as a stream and are never held together;
+adaptive execution deals out a join partition that they make too large.
 """
 
 from __future__ import annotations
