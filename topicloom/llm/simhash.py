@@ -12,7 +12,9 @@ links that are found.
 Defined cases: a null text counts as empty; texts without words have
 fingerprint zero and are linked like any other; fewer words than a shingle give
 one shingle; repeated rows each get a row; a null id takes part and never is
-the smallest id of a group that has others; an empty table gives an empty one.
+the smallest id of a group that has others; texts of any length are read whole;
+columns other than ``doc_id`` and ``text`` may have any name; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,26 +30,31 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_texts, table
 from .components import connected_components
+from .hot_groups import hot_links
 
 BITS = 64
-#: Rows of one key that are compared in one piece; a larger key is split into blocks and the pairs of its blocks are dealt out.
+#: Rows of one key that are compared in one piece.
 BLOCK = 4096
 #: Fingerprints that the plan is estimated on, about.
 PLAN_SAMPLE = 2048
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set, as an unsigned number."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
+    for at in range(0, n, 8192):
+        ones += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def simhash(text: str | None, width: int = 3) -> int:
     """The unsigned fingerprint of one text."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return bits_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -189,8 +196,8 @@ def _verify(radius: int):
 
         ends = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            fp = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(fp):
                 continue
             new = np.r_[ends is None or any(c[0] != e for c, e in zip(cols, ends, strict=True)), np.logical_or.reduce([c[1:] != c[:-1] for c in cols])] if len(fp) > 1 else np.array([ends is None or any(c[0] != e for c, e in zip(cols, ends, strict=True))])
@@ -213,25 +220,29 @@ def _verify(radius: int):
 def near_links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Links ``u, v`` of distinct fingerprints that connect all pairs within ``radius``.
 
-    ``fps`` has one row for each fingerprint (column ``fp``).  A key with more
-    than ``block`` rows is split: each row goes to the pairs of its block with
-    every block of the key, so no task holds more than two blocks of it.
+    ``fps`` has one row for each fingerprint (column ``fp``).  Keys with more
+    than ``block`` rows are dealt out in blocks as ``hot_groups`` says.
     """
     rows = fps.count()
     share = min(1.0, PLAN_SAMPLE / max(1, rows))
     sample = [x[0] for x in fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp").limit(2 * PLAN_SAMPLE).collect()]
     parts = plan_parts(np.sort(np.array(sample, np.int64)).view(np.uint64), rows, radius)
     probes = _probe_rows(fps, parts)
-    hot = cut(probes.groupBy("part", "key").count().where(F.col("count") > block).select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("n")))
-    if hot.isEmpty():
-        dealt = probes.select("part", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("n")).cast("int")
-        to = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to")
-        dealt = probes.join(hot, ["part", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", own)
-        dealt = dealt.select("part", "key", "fp", "own", to).select("part", "key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "fp")
-    by = ["part", "key", "i", "j"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(radius), "u long, v long").distinct()
+    hot = cut(probes.groupBy("part", "key").count().where(F.col("count") > block).select("part", "key"))
+    by = ["part", "key"]
+    cold = probes if hot.isEmpty() else probes.join(hot, by, "left_anti")
+    found = cold.select(*by, "fp").repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(radius), "u long, v long")
+    if not hot.isEmpty():
+
+        def links(nodes, _):
+            own = np.array(nodes, np.int64)
+            a, b = spanning_links(own.view(np.uint64), radius)
+            return zip(own[a].tolist(), own[b].tolist(), strict=True)
+
+        # groups of equal hashes are compared together, which finds no other links
+        members = probes.join(hot, by, "left_semi").select(F.xxhash64(*by).alias("key"), F.col("fp").alias("node"), F.lit(None).cast("binary").alias("own")).distinct()
+        found = found.unionAll(hot_links(members, links, block))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
