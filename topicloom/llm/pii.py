@@ -2,18 +2,25 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.
 Further candidates (secrets, national ids, loosely written phone and account
-numbers) are voted on by three labelers: a pattern labeler, a gazetteer labeler
-and a context labeler.  Expectation-maximisation over the counts of all vote
-patterns in the corpus estimates each labeler's reliabilities (Dawid & Skene,
-1979); the posteriors then train a logistic span classifier on the candidates'
-shape, and a candidate is a span if the classifier says so.
-
-Votes and shapes fall into a fixed number of patterns, so the corpus sends the
-driver their counts only, whatever its size.
-
-Defined cases: a null text counts as empty; repeated rows each get a row; an
-empty table gives an empty one and accepts no pattern; offsets are code points,
-ends exclusive.
+numbers) are voted on by three labelers, each of which looks at something else
+and may abstain: a pattern labeler checks how the candidate is built (checksums,
+ranges, mixture of signs), a gazetteer labeler looks up its parts (prefixes of
+issued keys, country codes and lengths of accounts, area codes, numbers known
+to be specimens, dates), and a context labeler reads the words around it.
+Expectation-maximisation over the counts of all vote patterns in the corpus
+estimates, for each kind of candidate, how reliable each labeler is (Dawid &
+Skene, 1979); the posteriors then train a logistic span classifier that sees
+shape and context but no votes, and a candidate is a span if the classifier
+says so.
+
+Votes and features fall into a fixed number of patterns, so the corpus sends
+the driver their counts only, whatever its size.
+
+Defined cases: a null text counts as empty; texts of any length are searched
+whole; repeated rows, also without ids, each get a row; columns other than
+``doc_id`` and ``text`` may have any name; an empty table gives an empty one
+and accepts no pattern; a classifier that is undecided rejects; offsets are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -38,15 +45,31 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = re.compile(
-    r"(?P<secret>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
-    r"|(?P<id>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<contact>(?<![0-9A-Za-z+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<account>(?<![0-9A-Za-z-])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9]{9,19})(?![0-9A-Za-z-]))"
+    r"(?P<id>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
+    r"|(?P<contact>(?<![0-9A-Za-z+(-])(?:\+[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]))"
+    r"|(?P<account>(?<![0-9A-Za-z-])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9]{9,19})(?![0-9A-Za-z_/+=-]))"
+    r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
 )
 _HINT = re.compile(r"[0-9]")
-GAZETTEER = frozenset("token secret password passwd pwd key apikey api_key auth bearer credential ssn social passport iban account konto cuenta compte phone tel telefon téléphone teléfono mobile fax call contact".split())
 _CUE = re.compile(r"[\w]+")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?\Z")
+#: Words that announce a kind, for the context labeler.
+CUES = {
+    "secret": frozenset("token secret password passwd pwd key apikey api_key auth bearer credential credentials passphrase passwort schlüssel clé clave contraseña mot".split()),
+    "id": frozenset("ssn social security insurance tax taxpayer passport ausweis seguro".split()),
+    "contact": frozenset("phone tel telephone telefon téléphone teléfono mobile cell fax call contact reach dial".split()),
+    "account": frozenset("iban account acct bank konto kontonummer cuenta compte passport".split()),
+}
+#: Words that announce a number of another sort.
+OTHER = frozenset("order invoice page version isbn issn serial build commit sha md5 checksum hash figure table section line total chapter volume".split())
+#: How keys that are issued begin.
+KEY_PREFIXES = ("sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "eyJ", "SG.", "npm_", "hf_")
+#: Length of an account number by country.
+IBAN = dict(zip("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO RS SE SI SK TR".split(), (24, 23, 20, 16, 22, 21, 28, 24, 22, 18, 20, 24, 18, 27, 22, 27, 21, 28, 22, 26, 27, 21, 20, 20, 21, 27, 31, 18, 15, 28, 25, 24, 22, 24, 19, 24, 26), strict=True))
+#: Area codes that aren't those of a place or a service, codes of countries, and numbers that are printed as specimens.
+NO_AREA = frozenset("000 111 123 200 211 222 311 333 411 444 511 555 611 666 711 777 811 911 999".split())
+COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 356 357 358 359 370 371 372 380 385 386 420 421 852 886 971 972".split())
+SPECIMENS = frozenset("078-05-1120 219-09-9999 123-45-6789 111-11-1111".split())
 
 
 def luhn(digits: str) -> bool:
@@ -82,8 +105,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _mod97(t: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def _pattern_vote(kind: str, t: str, digits: int) -> str:
+    if kind == "secret":
+        hexa = len(t) >= 32 and all(c in "0123456789abcdefABCDEF" for c in t)
+        return "1" if hexa or 0.1 <= digits / len(t) <= 0.8 else "0"
+    if kind == "id":
+        return "1" if t[:3] not in ("000", "666") and t[0] != "9" and t[4:6] != "00" and t[7:] != "0000" else "0"
+    if kind == "contact":
+        d = "".join(c for c in t if c.isdigit())[-10:]
+        return "1" if d[0] > "1" and d[3] > "1" else "0"
+    if t[0].isalpha():
+        return "1" if _mod97(t) else "0"
+    # longer numbers have a check digit; shorter ones can't be checked
+    return "-" if len(t) < 14 else "1" if luhn(t) else "0"
+
+
+def _gazetteer_vote(kind: str, t: str) -> str:
+    if kind == "secret":
+        return "1" if t.startswith(KEY_PREFIXES) else "-"
+    if kind == "id":
+        return "0" if t in SPECIMENS else "-"
+    if kind == "contact":
+        d = "".join(c for c in t if c.isdigit())
+        return "0" if d[-10:-7] in NO_AREA else "1" if t[0] == "+" and d[:-10] in COUNTRIES else "-"
+    if t[0].isalpha():
+        return "1" if IBAN.get(t[:2]) == len(t) else "0"
+    # a date, or seconds since 1970
+    dated = t[:2] in ("19", "20") and "01" <= t[4:6] <= "12" and "01" <= t[6:8] <= "31"
+    return "0" if dated or len(t) in (10, 13) and t[0] == "1" else "-"
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
-    """Loose candidates that touch no base span, with their pattern: three votes and the shape."""
+    """Loose candidates that touch no base span, with their pattern: three votes (``-`` abstains) and the features."""
     if not _HINT.search(text):
         return []
     out, k = [], 0
@@ -96,57 +153,90 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         kind, t = m.lastgroup, m[0]
         digits = sum(map(t.count, "0123456789"))
         before, after = text[max(0, s - 40) : s], text[e : e + 20]
-        cues = [w.lower() for w in _CUE.findall(before)[-3:]]
+        words = [w.lower() for w in _CUE.findall(before)[-3:]]
+        near = [*words, *(w.lower() for w in _CUE.findall(after)[:2])]
+        assigned, cues = bool(_ASSIGN.search(before)), CUES[kind]
+        cued = next((i for i, w in enumerate(reversed(words)) if w in cues or any(x in cues for x in w.split("_"))), 3)
+        context = "1" if cued < 3 or any(w in cues for w in near) else "0" if any(w in OTHER for w in words) or not assigned and near else "-"
         hexa = all(c in "0123456789abcdefABCDEF" for c in t)
-        strict = {"secret": hexa and len(t) >= 32 or 0.15 <= digits / len(t) <= 0.8, "id": t[:3] not in ("000", "666") and t[0] != "9", "contact": True, "account": len(t) >= 12}[kind]
-        known = any(w in GAZETTEER for w in cues) or any(w.lower() in GAZETTEER for w in _CUE.findall(after)[:2])
-        cued = bool(_ASSIGN.search(before)) or any(w in GAZETTEER for w in cues[-1:])
-        votes = "".join("1" if v else "0" for v in (strict, known, cued))
-        shape = f"{kind[0]}{min(3, len(t) // 12)}{min(3, digits * 4 // len(t))}{int(hexa)}{int(before[-1:] in chr(34) + chr(39))}"
-        out.append((s, e, kind, votes + shape))
+        mixed = any(c.islower() for c in t) + any(c.isupper() for c in t)
+        shape = f"{kind[0]}{min(3, len(t) // 12)}{min(3, digits * 4 // len(t))}{int(hexa)}{mixed}{int(before[-1:] in chr(34) + chr(39) and before != '')}{int(assigned)}{cued}"
+        out.append((s, e, kind, _pattern_vote(kind, t, digits) + _gazetteer_vote(kind, t) + context + shape))
     return out
 
 
-def dawid_skene(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each vote row and the labelers' ``(rate on spans, rate on others)``."""
-    prior, hit = 0.5, np.tile([[0.8], [0.2]], (1, votes.shape[1]))
+#: Pseudo-counts of a labeler's right and wrong votes, and of spans and others.
+RIGHT, WRONG, EITHER = 8.0, 2.0, 1.0
+
+
+def log_posterior(votes: list[str], count: np.ndarray, prior: float, rate: np.ndarray) -> float:
+    """Of the vote patterns; ``rate[c, j]`` is how often labeler ``j``, when it votes, says span on class ``c`` (0 spans, 1 others)."""
+    total = EITHER * (np.log(prior) + np.log(1 - prior)) + float((RIGHT * (np.log(rate[0]) + np.log(1 - rate[1])) + WRONG * (np.log(1 - rate[0]) + np.log(rate[1]))).sum())
+    for v, n in zip(votes, count, strict=True):
+        p = [prior, 1 - prior]
+        for c in (0, 1):
+            for j, x in enumerate(v):
+                p[c] *= {"1": rate[c, j], "0": 1 - rate[c, j], "-": 1.0}[x]
+        total += n * np.log(p[0] + p[1])
+    return total
+
+
+def dawid_skene(votes: list[str], count: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
+    """``(posterior of each vote pattern, share of spans, rates)`` that maximise :func:`log_posterior`; who abstains says nothing."""
+    said = np.array([[c == "1" for c in v] for v in votes], float).reshape(len(votes), -1)
+    spoke = np.array([[c != "-" for c in v] for v in votes], float).reshape(len(votes), -1)
+    prior, rate = 0.5, np.tile([[0.8], [0.2]], (1, said.shape[1]))
     post = np.full(len(votes), 0.5)
     for _ in range(rounds):
-        like = [np.log(p) + (votes * np.log(h) + (1 - votes) * np.log(1 - h)).sum(axis=1) for p, h in ((prior, hit[0]), (1 - prior, hit[1]))]
+        like = [np.log(p) + (spoke * (said * np.log(r) + (1 - said) * np.log(1 - r))).sum(axis=1) for p, r in ((prior, rate[0]), (1 - prior, rate[1]))]
         new = 1 / (1 + np.exp(np.clip(like[1] - like[0], -50, 50)))
         weight = np.stack([new, 1 - new]) * count
-        hit = np.clip((weight @ votes + 1) / (weight.sum(axis=1, keepdims=True) + 2), 0.01, 0.99)
-        hit[0], hit[1] = np.maximum(hit[0], 0.5), np.minimum(hit[1], 0.5)  # labelers are better than chance, which names the classes
-        prior = float(np.clip(weight[0].sum() / count.sum(), 0.01, 0.99))
-        if np.abs(new - post).max() < 1e-6:
-            break
+        rate = (weight @ (spoke * said) + np.array([[RIGHT], [WRONG]])) / (weight @ spoke + RIGHT + WRONG)
+        prior = float((weight[0].sum() + EITHER) / (count.sum() + 2 * EITHER))
+        done = np.abs(new - post).max() < 1e-9
         post = new
-    return new, hit
+        if done:
+            break
+    return post, prior, rate
 
 
-def _features(pattern: str) -> list[float]:
-    v, s = pattern[:3], pattern[3:]
-    return [1.0, *(float(x) for x in v), *(float(s[0] == k[0]) for k in KINDS[4:]), *(float(s[1] == d) for d in "0123"), *(float(s[2] == d) for d in "0123"), float(s[3]), float(s[4])]
+def _features(shape: str) -> list[float]:
+    """Of a shape's signs; the lengths, shares of digits and so on of each kind have weights of their own."""
+    kind = [float(shape[0] == k[0]) for k in KINDS[4:]]
+    own = [*(float(shape[1] == d) for d in "0123"), *(float(shape[2] == d) for d in "0123"), float(shape[3]), *(float(shape[4] == d) for d in "012"), float(shape[5]), float(shape[6]), *(float(shape[7] == d) for d in "0123")]
+    return [1.0, *kind, *own, *(k * x for k in kind for x in own)]
 
 
 def train(counts: dict[str, int]) -> list[str]:
-    """Accepted patterns, from the number of candidates of each pattern."""
-    if not counts:
+    """Accepted shapes, from the number of candidates of each pattern."""
+    by_kind: dict[str, dict[str, int]] = {}
+    for k, n in counts.items():
+        own = by_kind.setdefault(k[3], {})
+        own[k[:3]] = own.get(k[:3], 0) + n
+    span: dict[tuple[str, str], float] = {}
+    for kind, own in by_kind.items():
+        votes = sorted(own)
+        post, *_ = dawid_skene(votes, np.array([own[v] for v in votes], float))
+        span |= {(kind, v): float(p) for v, p in zip(votes, post, strict=True)}
+    # a shape's share of spans is what the classifier learns
+    n: dict[str, float] = {}
+    hit: dict[str, float] = {}
+    for k, c in counts.items():
+        n[k[3:]] = n.get(k[3:], 0.0) + c
+        hit[k[3:]] = hit.get(k[3:], 0.0) + c * span[k[3], k[:3]]
+    shapes = sorted(n)
+    if not shapes:
         return []
-    names = sorted(counts)
-    n = np.array([counts[k] for k in names], float)
-    votes = np.array([[float(c) for c in k[:3]] for k in names])
-    post, _ = dawid_skene(votes, n)
-    x, w = np.array([_features(k) for k in names]), None
+    x, w = np.array([_features(k) for k in shapes]), None
     w = np.zeros(x.shape[1])
-    weight = n / n.sum()
-    for _ in range(50):  # Newton steps of a weighted, ridge-regularised logistic regression
+    weight, y = np.array([n[k] for k in shapes]), np.array([hit[k] / n[k] for k in shapes])
+    for _ in range(100):  # Newton steps of a weighted, ridge-regularised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(len(w)), x.T @ (weight * (post - p)) - 1e-3 * w)
-        w += step
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.1 * w)
+        w += step * min(1.0, 4.0 / np.abs(step).max()) if step.any() else 0.0
         if np.abs(step).max() < 1e-8:
             break
-    return [k for k, s in zip(names, x @ w, strict=True) if s > 0]
+    return [k for k, s in zip(shapes, x @ w, strict=True) if s > 0]
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -171,7 +261,7 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def accepted_patterns(found: DataFrame) -> list[str]:
-    """Trains on the candidates of :func:`extract` over all documents."""
+    """Shapes that the classifier accepts, trained on the candidates of :func:`extract` over all documents."""
     pattern = found.select(F.explode("more").alias("c")).select(F.substring_index("c", ":", -1).alias("pattern"))
     return train({r[0]: r[1] for r in pattern.groupBy("pattern").count().collect()})
 
@@ -179,7 +269,8 @@ def accepted_patterns(found: DataFrame) -> list[str]:
 def annotate(found: DataFrame, accepted: list[str]) -> DataFrame:
     """The rows of :func:`extract` with ``all``, base and accepted spans by start and kind."""
     good = F.array(*(F.lit(p) for p in accepted)).cast("array<string>")
-    more = F.transform(F.filter("more", lambda c: F.array_contains(good, F.substring_index(c, ":", -1))), lambda c: F.substring_index(c, ":", 3))
+    shape = lambda c: F.substring(F.substring_index(c, ":", -1), 4, 99)
+    more = F.transform(F.filter("more", lambda c: F.array_contains(good, shape(c))), lambda c: F.substring_index(c, ":", 3))
     kinds = F.array(*(F.lit(k) for k in KINDS))
     keyed = F.transform(F.concat("base", more), lambda c: F.struct(F.split_part(c, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.array_position(kinds, F.split_part(c, F.lit(":"), F.lit(1))).alias("k"), c.alias("c")))
     return found.withColumn("all", F.transform(F.array_sort(keyed), lambda x: x["c"]))
@@ -194,7 +285,7 @@ def redact(docs: DataFrame, accepted: list[str]) -> DataFrame:
         if not t:
             return t
         b = base_spans(t)
-        spans = sorted([*b, *((s, e, k) for s, e, k, p in candidates(t, b) if p in good)])
+        spans = sorted([*b, *((s, e, k) for s, e, k, p in candidates(t, b) if p[3:] in good)])
         out, done = [], 0
         for s, e, k in spans:
             if s >= done:
@@ -203,13 +294,15 @@ def redact(docs: DataFrame, accepted: list[str]) -> DataFrame:
         return "".join(out) + t[done:] if spans else t
 
     def run(batches):
-        for batch in batches:
-            cols = list(batch.columns)
-            texts = [clean(t) for t in batch.column(at).to_pylist()]
-            cols[at] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                cols[columns.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                cols = list(batch.columns)
+                texts = [clean(t) for t in batch.column(at).to_pylist()]
+                cols[at] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    cols[columns.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     return docs.mapInArrow(run, docs.schema)
 
