@@ -1,5 +1,7 @@
 """Restoration of words whose letters are disguised at an edge, or spread or stretched at any length."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -58,3 +60,47 @@ def test_tokens_of_any_length():
     got = restorer(LONG).restored(f"a {token} b")
     assert len(token) > 80 and any("stupidworthless" in x for x in got)
     assert len(restorer(LONG).restored("h0me" * 5000)[0]) >= 20_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["hello-there-my-friend-you-57up1d-and-others-too", "x/y_5tup1d=1", "s  t  u  p  i  d", "s\nt\nu\np\ni\nd", "s t u p i d", "s\u200bt\u200bu\u200bpid", "st\u00adupid", "s\u0442u\u0440\u0456d", "stup\u03b9d", "s. t. u. p. i. d"],
+)
+def test_joined_spread_and_look_alike_letters(text):
+    low = toxicity.readable(f"the {text} here")
+    assert "stupid" in words([low, *restorer(LONG).restored(low)]), text
+
+
+def brute_decode(r, token):
+    """The likeliest of all paths through the lattice."""
+    best = (-np.inf, "")
+    for path in product(*r.lattice(token)):
+        word = "".join(c for c, _ in path)
+        x = [0, 0, *(toxicity.INDEX.get(c, toxicity.SIZE - 1) for c in word), 0]
+        best = max(best, (sum(cost for _, cost in path) + sum(r.logp[k] for k in zip(x, x[1:], x[2:], strict=False)), word), key=lambda y: y[0])
+    return best
+
+
+@pytest.mark.parametrize("token", ["57up1d", "1d107", "st00pid", "a$$", "p!!l|", "w*rth"])
+def test_viterbi_finds_the_likeliest_of_all_paths(token):
+    r = restorer(LONG)
+    score, word = brute_decode(r, token)
+    assert r.decode(token) == word and np.isfinite(score)
+
+
+def test_query(spark):
+    from zlib import crc32
+
+    rows = toxicity.op7_toxicity(spark, "/root/testdata/sf0.01").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, toxic int, words string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0

@@ -8,11 +8,20 @@ the score is a logistic regression over the words of the text and of its
 restorations, and over their beginnings, fitted on a bounded sample of labelled
 documents (``SAMPLE``) outside the held-out fold.
 
-Defined cases: null and empty texts score as texts without words; unlabelled
-rows and null labels teach nothing; several labels of a document count if they
-agree on at least one 1; repeated rows each get a row; without labelled rows of
-both kinds every score is the share of toxic rows (0 without any); an empty
-table gives an empty one.
+Before that, signs of no width are left out, and letters of other scripts that
+look like Latin ones are read as those in words that mix scripts.  Letters may
+be spread with up to three spaces, line breaks or separators between them.
+
+The classifier has ``FEATURES`` features at most, those that tell the labels
+apart best; of equals the first in order.
+
+Defined cases: null and empty texts score as texts without words; texts,
+tokens, runs and repeats of any length are decoded whole; unlabelled rows and
+null labels teach nothing; several labels of a document count if they agree on
+at least one 1; repeated rows, also without ids, each get a row; without
+labelled rows of both kinds every score is the share of toxic rows (0 without
+any); of restorations that are equally likely the first is taken; columns other
+than those named may have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +46,12 @@ THRESHOLD = 0.3
 LOOKS = {"@": "a", "4": "a", "3": "e", "1": "il", "!": "i", "|": "il", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "*": "aeiou", "#": "h", "€": "e", "£": "l"}
 SIGNS = "".join(re.escape(c) for c in LOOKS)
 _SIGN = re.compile(f"[{SIGNS}]")
-_SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ ._*\-][^\W_](?!\w)){3,}")
+_SPREAD = re.compile(r"(?<!\w)[^\W_](?:[\s._*\-]{1,3}[^\W_](?!\w)){3,}")
+_JOINT = re.compile(r"[-_./,;:=]+")
+_LETTER = re.compile(r"[^\W_]")
+_NO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+_MIXED = re.compile("[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]")
+LATIN = str.maketrans("авсеіјкмнорѕтухԁαβεικνορτυχ", "abceijkmhopstyxdabeiknoptux")
 _REPEAT = re.compile(r"([^\W\d_])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = tuple(re.compile(x) for x in (f"^[{SIGNS}.,;:?]{{2,}}", f"[{SIGNS}.,;:?]{{2,}}$"))
@@ -186,13 +200,15 @@ class Restorer:
             while end < n and not text[end].isspace():
                 end += 1
             done = end
-            for token in self.forms(text[start:end].strip(".,;:?\"'()")):
+            whole = text[start:end].strip(".,;:?\"'()")
+            parts = [x for x in _JOINT.split(whole) if len(x) >= 3 and _SIGN.search(x)]
+            for token in dict.fromkeys(f for x in ([whole, *parts] if parts != [whole] else [whole]) for f in self.forms(x)):
                 if len(token) >= 3 and _SIGN.search(token):
                     found = self.decode(token)
                     if sum(map(str.isalpha, token)) >= 2 or self.likely(found):
                         out.append(found)
         for m in _SPREAD.finditer(text):
-            parts = m[0][::2]
+            parts = "".join(_LETTER.findall(m[0]))
             if len(set(parts)) > 2:
                 # one word, or several
                 out.extend(dict.fromkeys((self.decode(parts), self.decode(parts, spaced=True))))
@@ -215,8 +231,17 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in (4, 5, 6, 7) if len(word) > k)]
 
 
+def readable(text: str) -> str:
+    """Lower case, without signs of no width and with look-alikes of Latin letters as those, in words that mix scripts."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    low = _NO_WIDTH.sub("", low)
+    return _WORD.sub(lambda m: m[0].translate(LATIN) if _MIXED.search(m[0]) else m[0], low) if _MIXED.search(low) else low
+
+
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
-    low = (text or "").lower()
+    low = readable(text or "")
     found = set(_WORD.findall(low))
     for r in restorer.restored(low):
         found.update(_WORD.findall(r))
