@@ -7,12 +7,16 @@ whole lower-cased text, as shares of the text's n-grams, so a score is one sum
 over positions and long texts need no feature vector.
 
 The machines are fitted on about ``SAMPLE`` documents of each language outside
-the held-out fold, a documented bound; prediction reads nothing but the text.
+the held-out fold, and on ``MOST`` over all, a documented bound; prediction
+reads nothing but the text.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0;
-rows without a language teach nothing; a language that no family lists is a
-family of its own; with no rows to learn from everything is ``und``; repeated
-rows each get a row; an empty table gives an empty one.
+texts of any length are read whole, in pieces of 65 536 characters; rows without
+a language teach nothing; a language that no family lists is a family of its
+own; with no rows to learn from everything is ``und``; of languages with equally
+many votes and margins the first in order is taken; repeated rows, also without
+ids, each get a row; columns other than those named may have any name; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs.split
 WIDTH = 1 << 13
 #: Training documents of each language, about.
 SAMPLE = 400
+MOST = 16_000
 HELD_OUT = 5
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -142,7 +147,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return Model(np.zeros((0, WIDTH)), [])
-    most = 1 << 30
+    most, sample = 1 << 30, min(sample, MOST // len(counts))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, sample / n) * most)).otherwise(share)
