@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from topicloom.llm import components, decontaminate, language, lm_score, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity
+from topicloom.llm import components, decontaminate, language, lm_score, pii, quality, sentencepiece_bpe, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -124,7 +124,23 @@ def test_contamination_matches_brute_force(spark, seed):
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())) == brute_hits(docs, items)
     kept = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r[0] for r in kept.collect()) == sorted(x[0] for x in brute_hits(docs, items) if not x[5])
+    full = {x[:2] for x in brute_hits(docs, [(i, t) for i, t in items if len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t or "")) >= 13]) if x[2]}
+    assert sorted(r[0] for r in kept.collect()) == sorted(x[0] for x in brute_hits(docs, items) if not x[5] and x[:2] not in full)
+
+
+def test_shuffled_probes_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    test_contamination_matches_brute_force(spark, 1)
+
+
+def test_a_full_window_in_a_long_document_goes(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    long = " ".join(f"w{k % 97}" for k in range(3000))
+    docs = spark.createDataFrame([(1, long + " " + item + " " + long), (2, long), (3, long + " short item"), (4, "a short item")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "short item"), (3, item)], "item_id long, text string")
+    assert {r[0] for r in decontaminate.clean(docs, items).collect()} == {2, 3}
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (20, 2, False) and got[4].contaminated
 
 
 def test_empty_tables_have_no_hits(spark):
@@ -177,21 +193,6 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
-def test_private_data_of_odd_texts(spark):
-    token = "token = " + '"' + "0123456789abcdef" * 2 + "ab" + '"'
-    d = documents(spark, [*ODD, "mail a.b@c.de or +1 (555) 010-9999", *[f"w{i} {token} w" for i in range(20)], *["plain 20250101 words"] * 20])
-    found = pii.extract(d)
-    accepted = pii.accepted_patterns(found)
-    rows = {r.doc_id: r for r in pii.annotate(found, accepted).collect()}
-    assert rows[0].base == [] and rows[10].n_email == 1 and rows[10].n_phone == 1
-    assert rows[11]["all"] == ["secret:12:46:"[:-1]] or rows[11]["all"][0].startswith("secret:")
-    assert all(not rows[i]["all"] for i in range(31, 51))
-    clean = {r.doc_id: r for r in pii.redact(d, accepted).collect()}
-    assert "[EMAIL]" in clean[10].text and "[PHONE]" in clean[10].text and clean[10].n_chars == len(clean[10].text)
-    assert clean[0].text is None and clean[40].text == "plain 20250101 words"
-    assert pii.accepted_patterns(pii.extract(documents(spark, []))) == []
-
-
 # --- language, toxicity, quality, LM scores -------------------------------
 def fold(i, n):
     return zlib.crc32(str(i).encode()) % n
@@ -267,13 +268,6 @@ def test_quality_rejects_noise(spark):
     assert {r.doc_id for r in quality.keep_good(d, lab).collect()} == {i for i, r in got.items() if r.keep}
 
 
-def test_model_probabilities_sum_to_one(spark):
-    d = documents(spark, ["abracadabra cadabra abra", "the abra Cad"] * 3)
-    letters = quality.letters_of(d.select("text"))
-    p = np.exp(quality.kneser_ney(quality.gram_counts(d.select("text"), letters)).astype(np.float64)).reshape(-1, quality.SIZE)
-    assert np.abs(p.sum(axis=1) - 1).max() < 0.02
-
-
 def test_compression_prefers_the_domain(spark):
     good = " ".join(["contract clause party agreement shall"] * 10)
     d = documents(spark, [None, "", *[good] * 5, *["zebra quagga okapi tapir lemur " * 10] * 20])
@@ -281,34 +275,3 @@ def test_compression_prefers_the_domain(spark):
     got = {r.doc_id: r for r in lm_score.compressed_scores(d, *lm_score.dictionaries(d, lab)).collect()}
     assert got[0].score == got[1].score == 0.0 and got[3].score > got[20].score
     lm_score.dictionaries(d, lab.limit(0))
-
-
-# --- sharding -------------------------------------------------------------
-def test_shards_match_brute_force(spark):
-    rows = [(i, f"t{i}" * (i % 7)) for i in range(500)] + [(None, None), (3, "again"), (3, "again")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    tree, grown = sharding.even_tree(40), sharding.even_tree(41)
-    got = sharding.place(d, tree, grown).collect()
-
-    def draw(i, x):
-        h = xxhash.xxh64_intdigest(("" if i is None else str(i)).encode(), xxhash.xxh64_intdigest(f"shard-{x.shard}".encode(), 42))
-        return -np.log(((h >> 11) + 0.5) / 2**53) / x.weight
-
-    for r in got:
-        assert r.shard == min(tree, key=lambda x: draw(r.doc_id, x)).shard
-        assert r.grown_shard in (r.shard, 40) and r.grown_shard == min(grown, key=lambda x: draw(r.doc_id, x)).shard
-    for s in {r.shard for r in got}:
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    by = {(r.doc_id, r.size, r.text_crc32) for r in got}
-    assert by == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows}
-
-
-def test_only_changed_subtrees_move():
-    tree = sharding.even_tree(8, 2, 2)
-    heavier = [x._replace(weight=2.0) if x.shard == 5 else x for x in tree]
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        u = {x.shard: rng.random() for x in tree}
-        a = min(tree, key=lambda x: -np.log(u[x.shard]) / x.weight).shard
-        b = min(heavier, key=lambda x: -np.log(u[x.shard]) / x.weight).shard
-        assert a == b or b == 5

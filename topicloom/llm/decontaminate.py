@@ -9,14 +9,17 @@ start, and the words there are compared in full.
 
 Cost: two scans of the documents (rarity, then probing), whose word positions
 are exploded and filtered by a hash join inside one generated stage; only
-matches are shuffled.  The probed table is broadcast while it has at most
-``BROADCAST_ROWS`` windows; beyond that both sides are shuffled by shingle.
+matches are shuffled.  Equal windows of several items are probed once.  The
+probed table is broadcast while it has at most ``BROADCAST_ROWS`` windows;
+beyond that ``(text, position, shingle)`` is shuffled by shingle, and the texts
+of what matches meet it afterwards.
 
 Defined cases: null texts have no words; items without words have no windows;
 items of one word are found by that word; repeated or null ``doc_id`` rows each
 get a row with the result of their own text; equal windows of several items
 count for each item; null ``item_id`` counts in ``n_hit`` but not in
-``n_items``; empty tables give no hits; only the named columns are read.
+``n_items``; texts of any length are searched whole; empty tables give no
+hits; only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -67,15 +70,15 @@ def _positions(docs: DataFrame, single: bool) -> DataFrame:
 
 
 def rarest_shingles(docs: DataFrame, windows: DataFrame, small: bool, single: bool) -> DataFrame:
-    """Windows, as ``first`` word and ``whole`` text, with ``key`` and ``off``, their rarest shingle that occurs in the documents; windows with a shingle that never occurs are left out."""
+    """Distinct windows ``wid, size, win``, as ``first`` word and ``whole`` text, with ``key`` and ``off``, their rarest shingle that occurs in the documents; windows with a shingle that never occurs are left out."""
     hint = F.broadcast if small else (lambda x: x)
     at = F.sequence(F.lit(1), F.greatest(F.size("win") - 1, F.lit(1)))
-    each = cut(windows.select("*", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.get("win", i - 1), F.get("win", i)))).alias("off", "key")))
+    each = cut(windows.select("wid", F.posexplode(F.transform(at, lambda i: F.xxhash64(F.get("win", i - 1), F.get("win", i)))).alias("off", "key")))
     keys = each.select("key").distinct()
     seen = _positions(docs.select("w"), single).select("key").join(hint(keys), "key", "left_semi").groupBy("key").count()
     ranked = each.join(seen, "key", "left")
-    best = ranked.groupBy("item_id", "size", "win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "off")).alias("b"))
-    return best.where("b.count > 0").select("item_id", "size", F.get("win", F.lit(0)).alias("first"), F.array_join("win", " ").alias("whole"), "b.key", "b.off")
+    best = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "off")).alias("b")).where("b.count > 0")
+    return windows.join(best, "wid").select("wid", "size", F.get("win", F.lit(0)).alias("first"), F.array_join("win", " ").alias("whole"), "b.key", "b.off")
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -86,29 +89,46 @@ def word_table(docs: DataFrame) -> DataFrame:
 KEY = ["doc_id", "h", "len"]
 
 
-def hits(text: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, h, len, n_words, n_hit, ids`` of the texts in which an item window occurs."""
-    windows = cut(item_windows(items, window))
+def _same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.h == b.h) & (a.len == b.len)
+
+
+def matches(text: DataFrame, windows: DataFrame) -> DataFrame:
+    """``doc_id, h, len, n_words, start, end, wid`` for each place where one of the distinct ``windows`` stands; materialised."""
     count, shortest = windows.agg(F.count("*"), F.min("size")).first()
     small, single = count <= BROADCAST_ROWS, shortest == 1
     probes = cut(rarest_shingles(text, windows, small, single))
     start = F.col("pos") - F.col("off")
+    at = _positions(text, single)
+    if small:
+        met = at.join(F.broadcast(probes), "key")
+    else:
+        # positions travel without their document's words, which meet the few that match afterwards
+        met = at.select(*KEY, "pos", "key").join(probes, "key").where(start >= 0)
+        met = met.select(*(F.col(c).alias(f"_{c}") for c in KEY), "pos", *probes.columns).join(text, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")) & (F.col("_len") == F.col("len")))
     # No higher-order function here: it would end the generated stage, and every position would carry a copy of the document's words.
     found = (
-        _positions(text, single)
-        .join(F.broadcast(probes) if small else probes, "key")
-        .where((start >= 0) & (start + F.col("size") <= F.size("w")))
+        met.where((start >= 0) & (start + F.col("size") <= F.size("w")))
         .where(lower_ascii(F.get("w", F.greatest(start, F.lit(0)))) == F.col("first"))
         .where(lower_ascii(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")) == F.col("whole"))
-        .select(*KEY, count_words(F.col("w")).alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "item_id")
+        .select(*KEY, count_words(F.col("w")).alias("n_words"), start.alias("start"), (start + F.col("size")).alias("end"), "wid")
     )
-    found = cut(found.distinct())
+    return cut(found.distinct())
+
+
+def hits(found: DataFrame) -> DataFrame:
+    """``doc_id, h, len, n_words, n_hit, longest`` of the texts in which a window occurs; ``longest`` is the size of the longest one."""
     spans = found.select(*KEY, "n_words", F.struct("start", "end").alias("s")).distinct().groupBy(*KEY, "n_words").agg(F.array_sort(F.collect_list("s")).alias("s"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     step = lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("n"))
-    n_hit = spans.select(*KEY, "n_words", F.aggregate("s", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"))
-    ids = found.where("item_id is not null").select(*KEY, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("i")).alias("ids"))
-    return n_hit.join(ids, (n_hit.doc_id.eqNullSafe(ids.doc_id)) & (n_hit.h == ids.h) & (n_hit.len == ids.len), "left").select(*(n_hit[c] for c in KEY), "n_words", "n_hit", "ids")
+    return spans.select(*KEY, "n_words", F.aggregate("s", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), F.array_max(F.transform("s", lambda s: s["end"] - s["start"])).alias("longest"))
+
+
+def distinct_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """``(wid, size, win)``, each window once, and ``(item_id, wid)``; both materialised."""
+    each = cut(item_windows(items, window))
+    own = cut(each.select("size", "win").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return own, each.join(own.select("wid", "win"), "win").select("item_id", "wid")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -118,28 +138,36 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
     text = word_table(docs)
-    found = hits(text, items, window)
+    windows, of_items = distinct_windows(items, window)
+    found = matches(text, windows)
+    named = found.select(*KEY, "wid").distinct().join(of_items.where("item_id is not null"), "wid").select(*KEY, F.col("item_id").cast("string").alias("i")).distinct()
+    ids = named.groupBy(*KEY).agg(F.array_sort(F.collect_list("i")).alias("ids"))
+    hit = hits(found)
+    hit = hit.join(ids, _same_text(hit, ids), "left").select(*(hit[c] for c in KEY), "n_hit", "ids")
     rows = text.select(*KEY, count_words(F.col("w")).alias("n_words"))
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id) & (rows.h == found.h) & (rows.len == found.len), "left")
-    hit, got = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
+    joined = rows.join(hit, _same_text(rows, hit), "left")
+    n_hit, got = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
         rows.doc_id,
         rows.n_words,
-        hit.cast("long").alias("n_hit"),
+        n_hit.cast("long").alias("n_hit"),
         F.size(got).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", got), 256).alias("items_sha256"),
-        is_contaminated(hit, rows.n_words).alias("contaminated"),
+        is_contaminated(n_hit, rows.n_words).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, all columns.
+    """The rows of ``docs`` without benchmark text, all columns.
 
-    Only ids and digests of contaminated texts are joined back, so texts move
-    only if those are too many to broadcast.
+    A document goes if a full window of ``window`` words occurs in it, however
+    long the document is, or if windows of shorter items make up a twentieth of
+    its words.  Only ids and digests of such texts are joined back, so texts
+    move only if those are too many to broadcast.
     """
-    found = hits(word_table(docs), items, window)
-    bad = cut(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(*KEY)).withColumnsRenamed({"doc_id": "bad_id", "h": "bad_h", "len": "bad_len"})
+    found = hits(matches(word_table(docs), distinct_windows(items, window)[0]))
+    bad = found.where((F.col("longest") >= window) | is_contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = cut(bad.select(*KEY)).withColumnsRenamed({"doc_id": "bad_id", "h": "bad_h", "len": "bad_len"})
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_h")) & (F.length("text") == F.col("bad_len")), "left_anti")
 
