@@ -3,6 +3,11 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs,
 sf_dir)`` and returns a DataFrame, which is written as Parquet and is the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Defined cases: documents without text are dropped by the first stage; texts of
+any length are read whole by each; copies leave the document of smallest id, and
+of rows of one id one; columns other than those of ``documents`` are left out
+and may have any name; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of texts linked by 5-word shingles at 0.8; of rows with that id, one."""
+    """Keeps the document of smallest id of each group of near copies, by SimHash and similarity of 5-word shingles; of rows with that id, one."""
     return _same(near_copies.one_of_each(_same(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with at least a twentieth of their words in benchmark windows."""
+    """Drops documents that hold a full benchmark window, or at least a twentieth of whose words lie in windows of shorter items."""
     return _same(decontaminate.clean(_same(docs), common.table(spark, sf_dir, "benchmark")))
 
 
@@ -58,13 +63,21 @@ STAGES = [
 ORACLE_SQL = {}
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what stages return is kept in the session's shared folder."""
+    """The last stage's rows, in the session's shared folder; what a stage returns is deleted once the next one is written."""
     docs = common.table(spark, sf_dir, "documents")
-    top = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
+    top, before = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before is not None:
+            _delete(spark, before)
+        before = f"{top}/{name}"
     return docs
 
 
