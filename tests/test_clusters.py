@@ -124,3 +124,26 @@ def test_terms_and_label_suitability(spark):
     want = {"safety": 1.35, "city": 1.0, "cafe provides": 0.0, "network": 1.35, "work": 0.0, "local": 0.0, "local network": 1.0 * 1.55 * 1.35 * 0.3, "a b c": 0.0, "varies": 0.0, "pass": 1.0}
     got = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.label_score(F.col("t"), F.lit(1.0)).alias("s")).collect()
     assert {r.t: pytest.approx(r.s) for r in got} == want
+
+
+def test_reducer_projects_rows_it_was_not_fitted_on(spark):
+    from topicloom.operators.reduce import PcaReducer
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 3)) @ rng.standard_normal((3, 8)) + 0.01 * rng.standard_normal((200, 8))
+    rows = table(spark, x)
+    with pytest.raises(RuntimeError):
+        PcaReducer(3).transform(rows)
+    y = np.array([r.v for r in PcaReducer(3).fit(rows.where("row_id < 150")).transform(rows).orderBy("row_id").collect()])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = lambda a: np.linalg.norm(a[150:, None] - a[None, :150], axis=2)
+    assert y.shape == (200, 3) and np.abs(d(y) - d(u)).max() < 0.1
+
+
+def test_manifold_values_and_caps():
+    from topicloom.operators import tuning
+
+    assert [tuning.manifold_neighbours(n) for n in (5, 100, 5000, 10**6)] == [4, 15, 27, 40]
+    assert [tuning.manifold_width(n, 384) for n in (10, 2000, 10**6)] == [6, 14, 15] and tuning.manifold_width(2000, 6) == 6
+    assert tuning.direct_caps(30_000, 0.2, [1, 2, 3, 4], [1, 2, 3]) == ([1, 2, 3], [1, 2], ("eom",))
+    assert tuning.direct_caps(10_000, 0.6, [1, 2, 3, 4, 5], [1, 2, 3]) == ([1, 2, 3, 4], [1, 2, 3], ("eom", "leaf"))

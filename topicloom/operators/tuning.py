@@ -165,6 +165,20 @@ def large_min_samples(density_cv: float, size: int) -> list[int]:
     return sorted({1, part(2, 4)} if density_cv < 0.35 else {part(2, 4), part(4, 2)} if density_cv > 0.80 else {part(1, 5), part(2, 3)})
 
 
+def direct_caps(n: int, density_cv: float, sizes: list[int], neighbours: list[int]) -> tuple[list[int], list[int], tuple[str, ...]]:
+    """What the medium tier tries at most: ``(sizes, neighbours, methods)``, fewer for more rows and even density."""
+    return sizes[: 4 if n <= 20_000 else 3], neighbours if n <= 25_000 else neighbours[:2], METHODS if density_cv > 0.45 else METHODS[:1]
+
+
+def manifold_neighbours(n: int) -> int:
+    return int(min(max(round(2.2 * math.log2(n)), 10), min(40, n - 1)))
+
+
+def manifold_width(n: int, width: int) -> int:
+    """Grows with the logarithm of the number of clusters that the size suggests."""
+    return int(min(max(4 + round(2.5 * math.log2(max(2.0, math.sqrt(n / 8)))), 5), min(15, width)))
+
+
 def refine_column(score: Column, noise: Column) -> Column:
     """Whether a first solution is weak enough to be refined."""
     return (score < 0.38) | (noise > 0.35)

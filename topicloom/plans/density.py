@@ -81,7 +81,7 @@ def _labelled(rows: DataFrame, ids: list, labels: np.ndarray) -> DataFrame:
     return rows.join(F.broadcast(table), "row_id")
 
 
-def _sweep_in_tasks(rows: DataFrame, x: np.ndarray, grid: list[tuple[int, int]], sizes: list[int], boost: float) -> list[dict]:
+def _sweep_in_tasks(rows: DataFrame, x: np.ndarray, grid: list[tuple[int, int]], sizes: list[int], boost: float, methods=tuning.METHODS) -> list[dict]:
     """Sweeps ``(width, neighbours)`` pairs, a task each."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(x.astype(np.float32))
@@ -92,7 +92,7 @@ def _sweep_in_tasks(rows: DataFrame, x: np.ndarray, grid: list[tuple[int, int]],
             for dim, neighbours in zip(frame["dim"], frame["neighbours"], strict=True):
                 full = N.unit_rows(shared.value)
                 y = N.unit_rows(N.pca(full, dim)) if dim < full.shape[1] else full
-                for c in search.sweep(y, full, sizes, neighbours, boost):
+                for c in search.sweep(y, full, sizes, neighbours, boost, methods):
                     out.append({**c, "labels": c["labels"].tolist()})
             yield pd.DataFrame(out, columns=["score", "k", "separation", "noise", "largest", "stability", "labels", "mcs", "min_samples", "method", "dim"])
 
@@ -162,7 +162,10 @@ def _bounded(rows: DataFrame, config: tuning.Config, tier: str, band: str, profi
         dims = [x.shape[1]] if band == "low" else sorted({min(t, x.shape[1]) for t in tuning.PCA_TARGETS["small"][band]})
     else:
         dims = tuning.width_candidates(tuning.medium_width(profile), x.shape[1])
-    found = _sweep_in_tasks(rows, x, [(d, m) for d in dims for m in neighbours], sizes, boost)
+    methods = tuning.METHODS
+    if tier == "medium":
+        sizes, neighbours, methods = tuning.direct_caps(n, profile.density_cv, sizes, neighbours)
+    found = _sweep_in_tasks(rows, x, [(d, m) for d in dims for m in neighbours], sizes, boost, methods)
     best = found[0] if found else None
     if best and (best["score"] < 0.38 or best["noise"] > 0.35 or tier == "small" and tuning.blob(best["largest"], best["k"], best["separation"], best["stability"])):
         more = tuning.size_candidates([s * best["mcs"] for s in ((0.75, 1.35) if tier == "small" else (0.7, 1.3))], n // 3)
@@ -186,19 +189,23 @@ def _bounded(rows: DataFrame, config: tuning.Config, tier: str, band: str, profi
 
 
 def search_shard(x: np.ndarray, preset: str, band: str, seed: int = 42) -> np.ndarray:
-    """Labels of one shard; small or unclear shards fall back to one cluster, to singles or to noise."""
+    """Labels of one shard; small or unclear shards fall back to one cluster, to singles or to noise.
+
+    Up to three sizes and two neighbour counts are tried on each representation;
+    the three best solutions are scored again once near noise has joined them.
+    """
     n = len(x)
     if n <= 3:
         return np.arange(n, dtype=np.int32)
-    p = search_profile(x, seed)
-    sizes, best = tuning.cluster_size_spread(preset, band, n)[:3], None
-    for least in sizes:
-        for m in tuning.large_min_samples(p, least)[:2]:
-            for c in search.sweep(x, x, [least], m, 0.0):
-                if c["k"] and (best is None or c["score"] > best["score"]):
-                    best = c
-    if best is not None:
-        return best["labels"]
+    sizes, found = tuning.cluster_size_spread(preset, band, n)[:3], []
+    for dim in sorted({min(d, x.shape[1]) for d in tuning.PCA_TARGETS["large"][band]}):
+        y = N.unit_rows(N.pca(x, dim)) if dim < x.shape[1] else x
+        for m in tuning.large_min_samples(search_profile(y, seed), sizes[0])[:2]:
+            found += [c for c in search.sweep(y, x, sizes, m, 0.0) if c["k"]]
+    if found:
+        best = sorted(found, key=lambda c: -c["score"])[:3]
+        done = [(search.score(x, labels)["score"], labels) for c in best for labels in [recover(x, c["labels"])]]
+        return max(done, key=lambda d: d[0])[1]
     c = N.unit_rows(x.mean(axis=0, keepdims=True))[0]
     return np.zeros(n, np.int32) if n <= 16 and float((x @ c).mean()) > 0.6 else np.full(n, -1, np.int32)
 
@@ -314,6 +321,8 @@ def cluster_vectors(rows: DataFrame, options=None, n: int | None = None) -> tupl
         return out, report
     profile = dataset_profile(rows, n, config.random_state)
     report.profile = dict(profile.__dict__)
+    if n > 2:  # what a manifold reducer would be given
+        report.profile |= {"manifold_neighbours": tuning.manifold_neighbours(n), "manifold_width": tuning.manifold_width(n, width)}
     tuning.say(config, f"{n} rows of width {width}: tier {report.tier}, band {report.band}")
     if report.tier == "tiny":
         ids, raw = _matrix(rows)
