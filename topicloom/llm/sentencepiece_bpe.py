@@ -13,8 +13,10 @@ space-led chunks that are encoded by themselves, and chunks fall apart at
 characters without a piece, which become bytes.  Results of chunks are kept in
 a bounded table per Python worker.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows each
-get a row; an empty table gives an empty one.
+Defined cases: a null text counts as empty and has no ids; texts of any length
+are encoded whole; repeated rows, also without ids, each get a row; columns
+other than ``doc_id`` and ``text`` may have any name; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 SPACE = "▁"
-KEEP = 400_000
+#: Chunks of text and answers on pairs that a worker keeps, each in two generations of half as many: some 70 and 50 MB.
+KEEP, PAIRS = 200_000, 500_000
 
 
 class Pieces:
@@ -57,6 +60,8 @@ class Pieces:
         if any(b == SPACE and a != SPACE for a, b in inner):
             raise ValueError("a piece holds a space behind another character")
         self.pair: dict[int, bool] = {}
+        self.old_pair: dict[int, bool] = {}
+        self.reached: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -80,17 +85,21 @@ class Pieces:
         return [self.id[x] for x in at]
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self.pair) > 2 * KEEP:
-            self.pair.clear()
-        # characters that no piece joins can't merge over the border
-        fits = self.pair[a << 20 | b] = self.merge(self.text[a] + self.text[b]) == [a, b] if (self.text[a][-1], self.text[b][0]) in self.joins else self.whole(b)
+        if len(self.pair) > PAIRS // 2:
+            self.old_pair, self.pair = self.pair, {}
+        key = a << 20 | b
+        fits = self.old_pair.get(key)
+        if fits is None:
+            # characters that no piece joins can't merge over the border
+            fits = self.merge(self.text[a] + self.text[b]) == [a, b] if (self.text[a][-1], self.text[b][0]) in self.joins else self.whole(b)
+        self.pair[key] = fits
         return fits
 
     def run(self, text: str) -> list[int]:
         """Ids of a text whose every character has a piece."""
         last = [0] * (len(text) + 1)
         size = [0] * (len(text) + 1)
-        known = self.pair.get
+        known = self.pair.get  # a generation that ends within a text is kept in hand until it does
         for end, (i, n) in self.automaton.iter(text):
             end += 1
             if size[end]:
@@ -114,8 +123,8 @@ class Pieces:
 
     def whole(self, i: int) -> bool:
         """Whether the piece's own text gives the piece back; some can never be reached by merges."""
-        if (known := self.pair.get(-1 - i)) is None:
-            known = self.pair[-1 - i] = self.merge(self.text[i]) == [i]
+        if (known := self.reached.get(i)) is None:
+            known = self.reached[i] = self.merge(self.text[i]) == [i]
         return known
 
     def chunk(self, text: str) -> list[int]:
@@ -149,13 +158,20 @@ class Coder(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.old = pieces, {}
 
     def __missing__(self, chunk: str) -> tuple[str, int, str]:
-        ids = self.pieces.chunk(chunk)
-        value = (",".join(map(str, ids)), len(ids), self.pieces.decode(ids))
+        value = self.old.get(chunk)
+        if value is None:
+            if self.pieces.known.issuperset(chunk):  # then the pieces' texts are the chunk's
+                ids = self.pieces.run(chunk)
+                value = (",".join(map(str, ids)), len(ids), chunk.replace(SPACE, " "))
+            else:
+                ids = self.pieces.chunk(chunk)
+                value = (",".join(map(str, ids)), len(ids), self.pieces.decode(ids))
         if len(chunk) <= 40:
-            if len(self) >= KEEP:
+            if len(self) >= KEEP // 2:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = value
         return value
