@@ -11,14 +11,27 @@ one from each word on, are counted over all documents for the general one, and
 over all trusted documents for the other; a segment saves its length each time
 it comes again.  Dictionaries have ``DICTIONARY`` bytes at most.
 
+Most segments are rare, and shuffling them all would take twice the input.  So
+a first pass adds up, for every segment, one of ``BUCKETS`` hash buckets, and a
+second one counts only segments whose bucket holds enough for them to save what
+the dictionaries ask for (Park, Chen & Yu, 1995).  A bucket holds no less than
+any of its segments, so what is counted is counted in full; if it doesn't fill
+the dictionaries the second pass is repeated with less asked for.  The result is
+that of counting everything.
+
 Defined cases: a null text counts as empty, and an empty text scores 0; without
-trusted rows both dictionaries are the general one and every score is 0;
-repeated rows each get a row; an empty table gives an empty one.
+trusted rows both dictionaries are the general one and every score is 0; of
+segments that save the same the first in order are taken; texts of any length
+are read whole; repeated rows, also without ids, each get a row; columns other
+than ``doc_id`` and ``text`` may have any name; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +42,85 @@ DICTIONARY = 110 << 10
 #: Words of a segment; a text of fewer is one segment.
 SEGMENT = 2
 LEVEL = 3
-HOLD = 150_000
+HOLD = 100_000
+#: Ids of trusted documents that are broadcast; more are met by a shuffle of the texts.
+MARKED = 1_000_000
+BUCKETS, CHUNK = 1 << 21, 1 << 13
+
+
+class Words(dict):
+    """Words to 64-bit numbers: a hash, and in the lowest 16 bits the word's bytes, or 65535 for more; filled as words are met."""
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode("utf-8", "surrogatepass")
+        value = xxhash.xxh64_intdigest(raw) & ~0xFFFF | min(len(raw), 0xFFFF)
+        if len(self) >= 2 * HOLD:
+            self.clear()
+        if len(raw) <= 40:
+            self[word] = value
+        return value
+
+    def segments(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and bytes of the segment from each word on."""
+        code = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        size = (code & np.uint64(0xFFFF)).astype(np.float64)
+        size[size == 0xFFFF] = np.inf
+        n = max(1, len(words) - SEGMENT + 1)
+        at, bytes_ = np.zeros(n, np.uint64), np.zeros(n)
+        for k in range(min(SEGMENT, len(words))):
+            at = at * np.uint64(0x9E3779B97F4A7C15) + code[k : k + n]
+            bytes_ += size[k : k + n] + (k > 0)
+        return ((at * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64), bytes_
+
 
+def segments_of(words: list[str]) -> list[str]:
+    """Runs of ``SEGMENT`` words, one from each word on; of fewer words, the one run."""
+    return list(map(" ".join, zip(*(words[i:] for i in range(SEGMENT)), strict=False))) if len(words) >= SEGMENT else [" ".join(words)] if words else []
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """``segment, n, own`` over ``text, own``: counts in all texts and in those marked, combined within tasks."""
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """Segments of all texts, and of those marked ``own``, by bucket; tables of fixed size are added up in pieces."""
+
+    def run(batches):
+        total, of = np.zeros((2, BUCKETS), np.int64), Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for kind, keep in ((0, None), (1, True)):
+                    held = [of.segments(w)[0] for t, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if (keep is None or own) and (w := (t or "").split())]
+                    if held:
+                        np.add.at(total[kind], np.concatenate(held), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        pieces = total.reshape(2, -1, CHUNK).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS // CHUNK, dtype=np.int32)), *(pa.array([pack(x.tobytes()) for x in k], pa.binary()) for k in pieces)], names=["chunk", "a", "b"])
+
+    def add(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, *both in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.stack([np.frombuffer(unpack(y), np.float32) for y in both]).astype(np.float64)
+                total[chunk] = total[chunk] + x if chunk in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["chunk", "total"])
+
+    out = np.zeros((2, BUCKETS // CHUNK, CHUNK), np.float32)
+    parts = texts.select("text", "own").mapInArrow(run, "chunk int, a binary, b binary").repartition("chunk").mapInArrow(add, "chunk int, total binary")
+    for chunk, raw in parts.collect():
+        out[:, chunk] = np.frombuffer(raw, np.float32).reshape(2, CHUNK)
+    return out.reshape(2, BUCKETS)
+
+
+def segment_counts(texts: DataFrame, buckets: np.ndarray | None = None, asked: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``segment, n, own`` over ``text, own``: counts in all texts and in those marked, combined within tasks.
+
+    With ``buckets``, only of segments that may save as much as ``asked``, in all texts or in those marked.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches):
         held: dict[str, int] = {}
         marked: dict[str, int] = {}
+        of, limit = Words(), shared.value
 
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64()), pa.array([marked.get(s, 0) for s in held], pa.int64())], names=["segment", "n", "own"])
@@ -45,9 +128,19 @@ def _segments(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (t or "").split()
-                for s in map(" ".join, zip(*(words[i:] for i in range(SEGMENT)), strict=False)) if len(words) >= SEGMENT else [" ".join(words)] if words else ():
+                if not words:
+                    continue
+                if limit is None:
+                    found = segments_of(words)
+                else:
+                    at, size = of.segments(words)
+                    # single precision: a millionth on the safe side
+                    enough = np.logical_or.reduce([(limit[k][at] * 1.000001 - 1) * size >= asked[k] for k in (0, 1)])
+                    found = [" ".join(words[i : i + SEGMENT]) for i in np.flatnonzero(enough).tolist()]
+                for s in found:
                     held[s] = held.get(s, 0) + 1
-                    if own:
+                if own:
+                    for s in found:
                         marked[s] = marked.get(s, 0) + 1
                 if len(held) > HOLD:
                     yield from out()
@@ -55,11 +148,7 @@ def _segments(texts: DataFrame) -> DataFrame:
                     marked.clear()
         yield from out()
 
-    return texts.select("text", "own").mapInArrow(run, "segment string, n long, own long")
-
-
-def segment_counts(texts: DataFrame) -> DataFrame:
-    return _segments(texts).groupBy("segment").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    return texts.select("text", "own").mapInArrow(run, "segment string, n long, own long").groupBy("segment").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
 
 
 def _filled(histogram: list, most: int) -> tuple[int | None, int]:
@@ -72,29 +161,21 @@ def _filled(histogram: list, most: int) -> tuple[int | None, int]:
     return None, held
 
 
-def _least(counts: DataFrame, most: int, of: str) -> int:
-    """The savings from which on the segments of ``counts`` (``bytes, n, own``) have ``most`` bytes."""
-    saves = (F.col(of) - 1) * F.col("bytes")
-    again = counts.where(F.col(of) > 1).select("bytes", saves.alias("saves"), F.floor(16 * F.log2(saves)).cast("int").alias("bin"))
-    least, held = _filled(again.groupBy("bin").agg(F.sum(F.col("bytes") + 1)).collect(), most)
-    if least is None:
-        return 0
-    return _filled(again.where(F.col("bin") == least).groupBy("saves").agg(F.sum(F.col("bytes") + 1)).collect(), most - held)[0]
-
-
-def best_counts(texts: DataFrame, docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """``segment, n, own`` of the segments that dictionaries of ``size`` bytes are filled from.
-
-    Counts are shuffled by the segments' hashes; a second pass over ``docs``
-    finds how those that save enough are written.
-    """
-    code = F.xxhash64("segment").alias("code")
-    counts = _segments(texts).select(code, "n", "own", F.octet_length("segment").alias("bytes")).groupBy("code").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.min("bytes").alias("bytes"))
-    counts = cut(counts.where((F.col("n") > 1) & (F.col("bytes") < size)))
-    enough = [(F.col(of) > 1) & ((F.col(of) - 1) * F.col("bytes") >= _least(counts, 2 * size, of)) for of in ("n", "own")]
-    # about as many as fill both dictionaries twice, and those of equal savings
-    best = F.broadcast(counts.where(enough[0] | enough[1]).select("code", "n", "own"))
-    return _segments(docs.select("text", F.lit(None).cast("boolean").alias("own"))).select("segment", code).join(best, "code").groupBy("segment").agg(F.first("n").alias("n"), F.first("own").alias("own"))
+def best_counts(texts: DataFrame, size: int = DICTIONARY) -> DataFrame:
+    """``segment, n, own`` of all segments that dictionaries of ``size`` bytes are filled from, and of some more; materialised."""
+    buckets = bucket_counts(texts)
+    typical, asked = 12, []
+    for of in buckets:
+        k = min(BUCKETS - 1, 2 * size // typical)
+        asked.append(max(0.0, 0.5 * typical * (float(np.partition(of, -k)[-k]) - float(np.median(of)) - 1)))
+    while True:
+        counts = segment_counts(texts, buckets, tuple(asked))
+        counts = cut(counts.where((F.col("n") > 1) & (F.octet_length("segment") < size)))
+        held = [F.sum(F.when((F.col(of) > 1) & ((F.col(of) - 1) * F.octet_length("segment") >= least), F.octet_length("segment") + 1)) for of, least in zip(("n", "own"), asked, strict=True)]
+        short = [least > 0 and (bytes_ or 0) < 2 * size for bytes_, least in zip(counts.agg(*held).first(), asked, strict=True)]
+        if not any(short):
+            return counts
+        asked = [(least / 4 if least >= 4 else 0.0) if again else least for least, again in zip(asked, short, strict=True)]
 
 
 def dictionary(counts: DataFrame, size: int = DICTIONARY, of: str = "n") -> bytes:
@@ -127,8 +208,10 @@ def dictionary(counts: DataFrame, size: int = DICTIONARY, of: str = "n") -> byte
 
 
 def dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
-    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("own")).distinct()
-    counts = cut(best_counts(docs.select("doc_id", "text").join(good, "doc_id", "left"), docs))
+    good = cut(labels.where("quality = 1").select("doc_id", F.lit(True).alias("own")).distinct())
+    if good.count() <= MARKED:  # texts then stay where they are
+        good = F.broadcast(good)
+    counts = best_counts(docs.select("doc_id", "text").join(good, "doc_id", "left"))
     general = dictionary(counts)
     return dictionary(counts, of="own") or general, general
 
