@@ -147,3 +147,15 @@ def test_manifold_values_and_caps():
     assert [tuning.manifold_width(n, 384) for n in (10, 2000, 10**6)] == [6, 14, 15] and tuning.manifold_width(2000, 6) == 6
     assert tuning.direct_caps(30_000, 0.2, [1, 2, 3, 4], [1, 2, 3]) == ([1, 2, 3], [1, 2], ("eom",))
     assert tuning.direct_caps(10_000, 0.6, [1, 2, 3, 4, 5], [1, 2, 3]) == ([1, 2, 3, 4], [1, 2, 3], ("eom", "leaf"))
+
+
+def test_missing_ids_come_from_the_largest_cluster(spark):
+    from topicloom.plans import fixed_k
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(np.eye(4)[:2], [30, 20], axis=0) + 0.02 * rng.standard_normal((50, 4)), np.tile(np.eye(4)[3], (20, 1))])
+    rows = spark.createDataFrame([(i, [float(a) for a in v], 0 if i < 50 else 3) for i, v in enumerate(x)], "row_id long, v array<double>, cluster_id int")
+    report = fixed_k.Report()
+    got = {r.row_id: r.cluster_id for r in fixed_k.repair(rows, 5, 0, report).collect()}
+    assert len(got) == 70 and set(got.values()) == set(range(5)) and "empty-cluster-repaired" in report.warnings
+    assert {i for i, c in got.items() if c == 1} == set(range(30, 50))
