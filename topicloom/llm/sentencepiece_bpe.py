@@ -9,9 +9,9 @@ pieces is compatible if encoding both together gives the two back.  This takes
 time in proportion to the text, however long a run without spaces is.
 
 No piece holds a space behind another character, so a text falls apart into
-space-led chunks that are encoded by themselves, and chunks fall apart at
-characters without a piece, which become bytes.  Results of chunks are kept in
-a bounded table per Python worker.
+space-led chunks that are encoded by themselves; words fall apart from signs
+that no piece joins to a letter, and chunks at characters without a piece, which
+become bytes.  Results of chunks are kept in a bounded table per Python worker.
 
 Defined cases: a null text counts as empty and has no ids; texts of any length
 are encoded whole; repeated rows, also without ids, each get a row; columns
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 SPACE = "▁"
+LETTER = re.compile(r"[^\W\d_]")
 #: Chunks of text and answers on pairs that a worker keeps, each in two generations of half as many: some 70 and 50 MB.
 KEEP, PAIRS = 200_000, 500_000
 
@@ -44,6 +45,7 @@ class Pieces:
         self.text = [p for p, *_ in pieces]
         self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == "piece"}
         self.score = [s for _, s, _ in pieces]
+        self.length = [len(p) for p in self.text]
         self.byte = [0] * 256
         self.is_byte = [False] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
@@ -52,13 +54,17 @@ class Pieces:
         self.control = [kind == "control" for *_, kind in pieces]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.known = {p for p in self.id if len(p) == 1}
         inner = {(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
         self.joins = inner
         if any(b == SPACE and a != SPACE for a, b in inner):
             raise ValueError("a piece holds a space behind another character")
+        # no merge goes from a letter to one of these
+        joined = {b for a, b in inner if LETTER.match(a)}
+        apart = "".join(re.escape(c) for c in sorted(self.known - joined) if not LETTER.match(c) and c != SPACE)
+        self.chunks = re.compile((f"{SPACE}*[^\\W\\d_]++(?=[{apart}])|" if apart else "") + f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.pair: dict[int, bool] = {}
         self.old_pair: dict[int, bool] = {}
         self.reached: dict[int, bool] = {}
@@ -97,29 +103,32 @@ class Pieces:
 
     def run(self, text: str) -> list[int]:
         """Ids of a text whose every character has a piece."""
-        last = [0] * (len(text) + 1)
-        size = [0] * (len(text) + 1)
-        known = self.pair.get  # a generation that ends within a text is kept in hand until it does
-        for end, (i, n) in self.automaton.iter(text):
+        last, length = [-1] * (len(text) + 1), self.length
+        known, reached = self.pair.get, self.reached.get  # a generation that ends within a text is kept in hand until it does
+        for end, i in self.automaton.iter(text):
             end += 1
-            if size[end]:
+            if last[end] >= 0:
                 continue
-            start = end - n
-            if start == 0:
-                fits = self.whole(i)
-            elif size[start]:
-                fits = known(last[start] << 20 | i)
+            start = end - length[i]
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known(before << 20 | i)
                 if fits is None:
-                    fits = self.compatible(last[start], i)
+                    fits = self.compatible(before, i)
             else:
-                continue
+                fits = reached(i)
+                if fits is None:
+                    fits = self.whole(i)
             if fits:
-                last[end], size[end] = i, n
+                last[end] = i
         ids, at = [], len(text)
         while at:
-            ids.append(last[at])
-            at -= size[at]
-        return ids[::-1]
+            ids.append(i := last[at])
+            at -= length[i]
+        ids.reverse()
+        return ids
 
     def whole(self, i: int) -> bool:
         """Whether the piece's own text gives the piece back; some can never be reached by merges."""
@@ -176,11 +185,9 @@ class Coder(dict):
             self[chunk] = value
         return value
 
-    chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-
     def encode(self, text: str) -> list[tuple[str, int, str]]:
         """The text's chunks with their ids; a space is put in front, as the model asks for."""
-        return list(map(self.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE)))) if text else []
+        return list(map(self.__getitem__, self.pieces.chunks(SPACE + text.replace(" ", SPACE)))) if text else []
 
 
 @lru_cache(2)
