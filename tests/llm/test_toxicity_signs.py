@@ -97,7 +97,10 @@ def test_query(spark):
     for r in rows:
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
-    assert np.mean([a == b for a, b in held]) > 0.95
+    # the table has some forty toxic rows to learn from: what is flagged is toxic, and most that is toxic is flagged
+    caught, flagged, toxic = sum(a and b for a, b in held), sum(b for _, b in held), sum(a for a, _ in held)
+    print(f"{caught} caught of {toxic} toxic, {flagged} flagged, {len(held)} held out")
+    assert caught >= 0.95 * flagged and caught >= 0.6 * toxic
 
 
 def test_empty_table(spark):
