@@ -150,5 +150,10 @@ def test_floors_lie_under_the_worst_run():
     assert got["tiny"]["score"] == 0.7 and got["tiny"]["floor"] == pytest.approx(0.45) and got["tiny"]["runs"] == 2 and got["small"] == {"floor": 0.1}
 
 
+def test_floors_of_numpy_scores_are_plain_floats():
+    got = tuning.calibrate_floors([{"tier": "tiny", "score": np.float64(0.8), "ari": np.float64(0.5), "k": np.int64(4), "n": 10, "dataset": "d", "embedder": "e"}])["tiny"]
+    assert {type(got[c]) for c in ("score", "ari", "floor", "least", "most")} == {float} and type(got["k"]) is int
+
+
 def test_a_giant_cluster_is_refined():
     assert tuning.blob(0.9, 3, 0.1, 0.9) and tuning.blob(0.6, 1, 0.9, 0.2) and not tuning.blob(0.2, 10, 0.1, 0.1) and not tuning.blob(0.5, 2, 0.1, 0.1)
