@@ -44,5 +44,11 @@ def test_query_gives_rows(spark, name):
         assert n == spark.read.parquet(f"{DIR}/{source}.parquet").count() and used == set(range(len(used)))
 
 
+def test_stream_reads_one_file_or_a_folder_of_files(spark, tmp_path):
+    source = spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id < 60")
+    source.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.QUERIES["stream_predict"](spark, str(tmp_path)).count() == source.count()
+
+
 def test_entry(spark):
     assert catalogue.flagship(spark, DIR).count() > 0
