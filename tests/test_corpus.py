@@ -2,6 +2,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from topicloom.functions import embed as E
 from topicloom.functions import text as T
@@ -133,3 +134,23 @@ def test_more_rows_than_max_samples_are_assigned_to_what_a_sample_gives(spark):
     with pytest.warns(UserWarning):
         out, report = DensityClusterer(max_samples=10, allow_oversized=True).labels_with_report(d)
     assert "oversized-subsampled" in report.warnings and out.count() == 24 and out.select("cluster_id").distinct().count() >= 2
+
+
+def test_embedder_counts_features_like_one_by_one(monkeypatch):
+    import math
+    import pickle
+
+    texts = ["ab ab abc", "", "ÄÖ naïve 漢字 ab", "x " * 30, "abc"]
+    monkeypatch.setattr(E.HashingEmbedder, "AT_ONCE", 7)
+    own = E.HashingEmbedder(16)
+    for got, t in zip(own.embed(texts), texts, strict=True):
+        sums = [0.0] * 16
+        for w in re.findall(r"\w+", t.lower()):
+            for at, sign in own.features(w):
+                sums[at] += sign
+        v = [math.copysign(math.log1p(abs(x)), x) for x in sums]
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert got.tolist() == pytest.approx([x / norm for x in v], abs=1e-6)
+    a, b = (pickle.loads(pickle.dumps(own)) for _ in range(2))
+    a.embed(["word"])
+    assert "word" in b.known  # tasks of a worker look a word up once
