@@ -159,3 +159,13 @@ def test_missing_ids_come_from_the_largest_cluster(spark):
     got = {r.row_id: r.cluster_id for r in fixed_k.repair(rows, 5, 0, report).collect()}
     assert len(got) == 70 and set(got.values()) == set(range(5)) and "empty-cluster-repaired" in report.warnings
     assert {i for i, c in got.items() if c == 1} == set(range(30, 50))
+
+
+def test_terms_are_shuffled_once_and_by_term_alone(spark):
+    rows = spark.createDataFrame([(0, "red blue red blue"), (1, "red blue"), (-1, "red"), (1, None)], "cluster_id int, clean_text string")
+    counts = K.term_counts(rows)
+    assert sorted(map(tuple, counts.collect())) == [(0, "blue", 2), (0, "blue red", 1), (0, "red", 2), (0, "red blue", 2), (1, "blue", 1), (1, "red", 1), (1, "red blue", 1)]
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(term" in plan
+    scores = K.class_tf_idf(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [term" not in scores and "BroadcastHashJoin [term" not in scores
