@@ -169,3 +169,8 @@ def test_terms_are_shuffled_once_and_by_term_alone(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(term" in plan
     scores = K.class_tf_idf(counts)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [term" not in scores and "BroadcastHashJoin [term" not in scores
+
+
+def test_label_scores_look_words_up_in_sets(spark):
+    df = spark.createDataFrame([("red data",)], "t string").select(T.label_score(F.col("t"), F.lit(1.0)).alias("s"))
+    assert "exists(" not in df._jdf.queryExecution().optimizedPlan().toString() and df.first().s == pytest.approx(1.55)
