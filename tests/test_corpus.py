@@ -154,3 +154,13 @@ def test_embedder_counts_features_like_one_by_one(monkeypatch):
     a, b = (pickle.loads(pickle.dumps(own)) for _ in range(2))
     a.embed(["word"])
     assert "word" in b.known  # tasks of a worker look a word up once
+
+
+def test_large_samples_are_the_first_by_hash_and_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "GATHERED", 4, raising=False)
+    df = spark.range(3000).repartition(5).withColumnRenamed("id", "k")
+    for n in (5, 700, 2999, 3000, 4000):
+        want = df.orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("42")), "k").limit(n)
+        got = P.subsample(df, "k", n)
+        assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect())
+    assert P.subsample(df, "k", 700).rdd.getNumPartitions() > 1  # one task doesn't gather the sample
