@@ -174,3 +174,20 @@ def test_terms_are_shuffled_once_and_by_term_alone(spark):
 def test_label_scores_look_words_up_in_sets(spark):
     df = spark.createDataFrame([("red data",)], "t string").select(T.label_score(F.col("t"), F.lit(1.0)).alias("s"))
     assert "exists(" not in df._jdf.queryExecution().optimizedPlan().toString() and df.first().s == pytest.approx(1.55)
+
+
+def test_nearest_two_hold_few_cosines_at_once(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(2000, 4)), rng.normal(size=(3000, 4))
+    c[7] = c[3]
+    want = np.argsort(-np.round(x @ c.T, 12), axis=1, kind="stable")[:, :2]
+    monkeypatch.setattr(C, "CELLS", 30_000)
+    tracemalloc.start()
+    order, sim = C.top_two(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (order == want).all() and peak < 3_000_000  # all cosines at once take 48 million bytes
+    assert sim[:, 0].tolist() == pytest.approx((x @ c.T).max(axis=1).tolist())
+    assert C.top_two(x, c[:1])[0].shape == (2000, 1)
