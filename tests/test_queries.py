@@ -50,5 +50,14 @@ def test_stream_reads_one_file_or_a_folder_of_files(spark, tmp_path):
     assert catalogue.QUERIES["stream_predict"](spark, str(tmp_path)).count() == source.count()
 
 
+def test_cluster_documents_takes_any_number_of_rows(spark, monkeypatch):
+    from topicloom.plans import model
+
+    seen = []
+    monkeypatch.setattr(model.DensityClusterer, "labels", lambda self, docs: seen.append(self.config.max_samples) or docs)
+    catalogue.QUERIES["cluster_documents"](spark, DIR)
+    assert seen == [None]  # with a limit, more rows than it are refused or sampled
+
+
 def test_entry(spark):
     assert catalogue.flagship(spark, DIR).count() > 0
